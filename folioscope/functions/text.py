@@ -45,7 +45,8 @@ def fold(text: Column) -> Column:
     for char, replacement in _LONGER.items():
         expanded = F.replace(expanded, F.lit(char), F.lit(replacement))
     whole = F.when(simple.rlike(_LONGER_CLASS), expanded).otherwise(simple)
-    return F.when(whole.rlike(r"\p{M}"), F.regexp_replace(whole, r"\p{M}", "")).otherwise(whole)
+    plain = F.octet_length(text) == F.char_length(text)  # ASCII only
+    return F.when(plain, F.lower(text)).otherwise(F.regexp_replace(whole, r"\p{M}", ""))
 
 
 def header_name(text: Column) -> Column:

@@ -132,7 +132,8 @@ def money_cycles(network: DataFrame, min_amount, max_hops: int,
     A cycle starts at its smallest ID; `montos[i]` is the leg from node i to the next.
     """
     spark = network.sparkSession
-    edges = _banded_edges(network, min_amount, max_ratio)
+    # Pruning reads the edges several times per round, so the network is summed once.
+    edges = settle(_banded_edges(network, min_amount, max_ratio))
     for _ in range(prune_rounds):
         edges = _connected(edges)
     edges = settle(edges)

@@ -120,8 +120,8 @@ def propose_leads(candidates: DataFrame, proving_rows: DataFrame) -> tuple[DataF
     """
     strongest = proving_rows.groupBy("rfc").agg(F.min("prioridad").alias("prioridad"))
     chosen = candidates.select("rfc").join(strongest, "rfc", "left")
-    scheme = F.element_at(F.array(*[F.lit(s) for s in fv.SCHEMES]), F.col("prioridad"))
-    rule = F.element_at(F.array(*[F.lit(RULES[s]) for s in fv.SCHEMES]), F.col("prioridad"))
+    scheme = F.get(F.array(*[F.lit(s) for s in fv.SCHEMES]), F.col("prioridad") - 1)
+    rule = F.get(F.array(*[F.lit(RULES[s]) for s in fv.SCHEMES]), F.col("prioridad") - 1)
     leads = chosen.select(
         F.col("rfc").alias("lead_id"), F.col("rfc").alias("rfc_imputado"),
         F.coalesce(scheme, F.lit("")).alias("tipo_esquema"),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import contains_any, fold
+from folioscope.session import settle
 from folioscope.settings import Settings
 
 _SHORTEST_WORD = 5
@@ -35,19 +36,22 @@ def issued_descriptions(invoices: DataFrame, items: DataFrame,
             .where(F.col("_n") <= max_descriptions).drop("_n"))
 
 
-def profiles(rfcs: DataFrame, catalog: DataFrame, issued: DataFrame,
+def profiles(rfcs: DataFrame, catalog: DataFrame, invoices: DataFrame, items: DataFrame,
              entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     """M2b. ((rfc, fuente, razon_social, giro), (rfc, descripcion)) of the given companies.
 
     The declared catalog comes first, then the company's own issuing history; a
-    company with neither has no profile.
+    company with neither has no profile. Items are only read for the invoices of
+    companies that need their history.
     """
     wanted = rfcs.select("rfc").distinct()
     declared = (catalog.join(wanted, "rfc", "left_semi")
                 .select("rfc", F.lit("CATALOGO").alias("fuente"), "razon_social", "giro",
                         "descripciones_esperadas"))
-    own = (issued.join(wanted, "rfc", "left_semi")
-           .join(catalog.select("rfc"), "rfc", "left_anti"))
+    undeclared = wanted.join(catalog.select("rfc"), "rfc", "left_anti")
+    theirs = invoices.select("uuid", "emisor_rfc").join(
+        undeclared.select(F.col("rfc").alias("emisor_rfc")), "emisor_rfc", "left_semi")
+    own = settle(issued_descriptions(theirs, items))
     inferred = (own.select("rfc").distinct()
                 .join(entities.select("rfc", F.col("razon_social").alias("_name")), "rfc", "left")
                 .select("rfc", F.lit("HISTORIAL").alias("fuente"),
@@ -186,9 +190,9 @@ def immaterial_invoices(invoices: DataFrame, items: DataFrame, catalog: DataFram
     """
     generic_items = items.where(
         contains_any(fold(F.col("descripcion")), settings.generic_terms))
-    received = received_concepts(invoices, generic_items)
+    received = settle(received_concepts(invoices, generic_items))
     pairs = received.select("rfc", "concepto").distinct()
-    heads, texts = profiles(pairs, catalog, issued_descriptions(invoices, items), entities)
+    heads, texts = profiles(pairs, catalog, invoices, items, entities)
     failing = failing_concepts(
         pairs, heads, profile_words(texts, settings.profile_stop_words), settings.generic_terms)
     return received.join(failing, ["rfc", "concepto"], "left_semi").select("uuid", "rfc").distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,25 +25,30 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _checkpoint_folder(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: what the session names in spark.checkpoint.dir.
+
+    Only a local session without that setting gets a folder of its own.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None)
-    if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="folioscope-checkpoint-"))
-    else:
+    named = (context.getConf().get("spark.checkpoint.dir")
+             or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir())
+    if named:
+        return named
+    if not context.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="folioscope-"))
+    return context.getCheckpointDir()
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Materialise a table that several later steps read, in the shared checkpoint folder.
+    """Write a table that several later steps read, and go on from what was written.
 
     The files outlive the executors that wrote them, so a lost executor costs a
-    re-read and not the whole lineage.
+    re-read and not the lineage. Later steps read only the columns they need, and
+    the planner knows the size of the table.
     """
-    _checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/settled/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

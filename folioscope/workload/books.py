@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope import fixed_values as fv
-from folioscope.session import tune
+from folioscope.session import settle, tune
 from folioscope.settings import Settings
 
 # The parts vocabulary of the benchmark stands in for invoice concepts.
@@ -56,11 +56,19 @@ def money(name: str) -> Column:
 
 
 class Books:
-    """Canonical tables as lazy DataFrames over one benchmark folder."""
+    """Canonical tables as lazy DataFrames over one benchmark folder.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    With `stored`, the tables are written on first use, as a load would leave them.
+    Queries of many steps work on those, so the projection is computed once.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, stored: bool = False):
         self.spark = tune(spark)
         self.sf_dir = sf_dir
+        self.stored = stored
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        return settle(df) if self.stored else df
 
     def raw(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
@@ -83,18 +91,18 @@ class Books:
             F.concat(F.lit("Usuario "), F.col("user_id").cast("string")).alias("razon_social"),
             no_date, nothing.alias("representante_legal"), F.lit("00000").alias("codigo_postal"),
             F.lit(False).alias("es_empresa_auditada"))
-        return suppliers.unionByName(customers).unionByName(users)
+        return self._kept(suppliers.unionByName(customers).unionByName(users))
 
     @cached_property
     def blacklist(self) -> DataFrame:
         balance = F.col("s_acctbal")
-        return self.raw("supplier").where(balance < 1000).select(
+        return self._kept(self.raw("supplier").where(balance < 1000).select(
             supplier_id("s_suppkey").alias("rfc"),
             F.when(balance < -700, fv.STATUS_FINAL).when(balance < 0, fv.STATUS_PRESUMED)
             .otherwise(fv.STATUS_CLEARED).alias("situacion"),
             F.date_add(F.lit("2020-01-01").cast("date"), F.col("s_nationkey") * 90)
             .alias("publicacion_dof"),
-            F.abs(money("s_acctbal")).alias("monto_presunto_total"))
+            F.abs(money("s_acctbal")).alias("monto_presunto_total")))
 
     @cached_property
     def invoices(self) -> DataFrame:
@@ -102,7 +110,7 @@ class Books:
                   .agg(F.sum(money("l_extendedprice")).cast("decimal(14,2)").alias("total")))
         low = F.col("o_orderpriority") == "5-LOW"
         supplier, customer = supplier_id("l_suppkey"), customer_id("o_custkey")
-        return billed.join(
+        return self._kept(billed.join(
             self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
             folio("I", "l_orderkey", "l_suppkey").alias("uuid"),
             F.when(low, customer).otherwise(supplier).alias("emisor_rfc"),
@@ -111,18 +119,18 @@ class Books:
             F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "PUE").otherwise("PPD")
             .alias("metodo_pago"), F.lit("03").alias("forma_pago"),
             F.when(low | (F.col("o_orderstatus") == "P"), "CANCELADO").otherwise("VIGENTE")
-            .alias("estado_cfdi"))
+            .alias("estado_cfdi")))
 
     @cached_property
     def items(self) -> DataFrame:
-        return self.raw("lineitem").join(
+        return self._kept(self.raw("lineitem").join(
             self.raw("part"), F.col("l_partkey") == F.col("p_partkey")).select(
             folio("I", "l_orderkey", "l_suppkey").alias("invoice_uuid"),
             F.lpad(F.col("l_partkey").cast("string"), 8, "0").alias("clave_prod_serv"),
             F.concat_ws(" ", "p_type", "p_name").alias("descripcion"),
             F.col("l_quantity").cast("decimal(10,2)").alias("cantidad"),
             money("p_retailprice").alias("valor_unitario"), money("l_extendedprice")
-            .alias("importe"), F.col("l_linenumber").cast("long").alias("_row"))
+            .alias("importe"), F.col("l_linenumber").cast("long").alias("_row")))
 
     @staticmethod
     def payment_folio() -> Column:
@@ -156,7 +164,7 @@ class Books:
             (money("value") * 1000).cast("decimal(14,2)").alias("monto"),
             F.lit(None).cast("string").alias("referencia_bancaria"),
             F.lit(None).cast("string").alias("cfdi_uuid"))
-        return paid.unionByName(moved)
+        return self._kept(paid.unionByName(moved))
 
     @cached_property
     def catalog(self) -> DataFrame:
