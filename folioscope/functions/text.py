@@ -59,9 +59,12 @@ def plain_header(name: str) -> str:
     return "".join(c for c in _folded(str(name).lower()) if c.isalnum())
 
 
+_WHITE_SPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
+
+
 def strip(text: Column) -> Column:
     """Trim any white space, not only blanks."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(_WHITE_SPACE))
 
 
 def blank(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope import fixed_values as fv
 from folioscope.functions.text import strip
+from folioscope.session import settle
 
 _AMOUNTS = ("subtotal", "total", "valor_unitario", "importe")
 _REQUIRED = ("uuid", "emisor_rfc", "receptor_rfc", "total")
@@ -72,11 +73,15 @@ def extract_invoice_fields(documents: DataFrame, doc_id: str = "doc_id",
     issuer_name = F.when(F.col("emisor_rfc").isNotNull(), F.try_element_at(above, F.lit(-1)))
     receiver_name = strip(F.regexp_replace(
         _first(fv.EMPLOYEE_LINE_PATTERN, body), fv.EMPLOYEE_NUMBER_PREFIX, ""))
-    return base.select(
-        doc_id, _first_whole(fv.UUID_PATTERN, body).alias("uuid"), "emisor_rfc", "receptor_rfc",
-        "rfc_pac", _first_whole(fv.ISO_TIMESTAMP_PATTERN, body).alias("fecha_emision"),
+    # A one-row generator: a later filter on a field reads the value found here, where a
+    # plain projection would be searched again for every use of it.
+    return base.select(doc_id, F.inline(F.array(F.struct(
+        _first_whole(fv.UUID_PATTERN, body).alias("uuid"), F.col("emisor_rfc"),
+        F.col("receptor_rfc"), F.col("rfc_pac"),
+        _first_whole(fv.ISO_TIMESTAMP_PATTERN, body).alias("fecha_emision"),
         *[value.alias(name) for name, value in fields.items()],
-        issuer_name.alias("razon_social_emisor"), receiver_name.alias("razon_social_receptor"))
+        issuer_name.alias("razon_social_emisor"),
+        receiver_name.alias("razon_social_receptor")))))
 
 
 def _given(name: str) -> Column:
@@ -95,9 +100,10 @@ def missing_fields(fields: DataFrame) -> DataFrame:
 def invoice_rows(fields: DataFrame, doc_id: str = "doc_id") -> dict[str, DataFrame]:
     """S15. Canonical text tables from extracted fields, plus the documents left out.
 
-    Keys: Entidades, Facturas, Partidas (each with doc_id) and rechazados.
+    Keys: Entidades, Facturas, Partidas (each with doc_id) and rechazados. The fields
+    feed all four, so they are extracted once.
     """
-    marked = missing_fields(fields)
+    marked = settle(missing_fields(fields))
     usable = marked.where(F.size("faltantes") == 0)
     fallback = fv.DOCUMENT_DEFAULTS
     none = F.lit(None).cast("string")

@@ -1006,29 +1006,21 @@ select 'O' || cast(o_orderkey as varchar) as answer_id, b.rfc, situacion
 from orders join blacklist b on b.rfc = {_SUP}
 where (o_orderstatus = 'F' and situacion = 'DEFINITIVO')
    or (o_orderstatus = 'O' and situacion = 'PRESUNTO')""", "blacklist")
+# An order's answer names two IDs and one amount twice, all within reach of each other.
 _SQL["a5_swapped_amounts"] = with_tables("""
-select 'I' || uuid as answer_id, receptor_rfc as rfc, cast(f.monto as double) as monto,
-       a.rfc as dueno
-from (
-  select i.uuid, i.receptor_rfc, arg_min(c.monto, c.k) as monto
-  from invoices i, lateral (select 1 as k, i.total as monto union all select 2, i.total * 2) c
-  where i.receptor_rfc in (select rfc from amounts)
-    and c.monto in (select monto from amounts)
-    and not exists (select 1 from amounts o where o.rfc = i.receptor_rfc and o.monto = c.monto)
-  group by 1, 2) f
-join amounts a on a.monto = f.monto
-union all
-select 'I' || uuid, emisor_rfc, cast(f.monto as double), a.rfc
-from (
-  select i.uuid, i.emisor_rfc, arg_min(c.monto, c.k) as monto
-  from invoices i, lateral (select 1 as k, i.total as monto union all select 2, i.total * 2) c
-  where i.emisor_rfc in (select rfc from amounts)
-    and c.monto in (select monto from amounts)
-    and not exists (select 1 from amounts o where o.rfc = i.emisor_rfc and o.monto = c.monto)
-  group by 1, 2) f
-join amounts a on a.monto = f.monto""", "invoices blacklist", **_BUYERS, amounts="""
+select s.answer_id, s.rfc, cast(s.monto as double) as monto, a.rfc as dueno
+from said s join amounts a on a.monto = s.monto
+where s.rfc in (select rfc from amounts)
+  and not exists (select 1 from amounts o where o.rfc = s.rfc and o.monto = s.monto)""",
+    "invoices blacklist", **_BUYERS, amounts="""
 select rfc, cast(sum(total) as decimal(24,2)) as monto from buyers group by rfc
-union select rfc, cast(total as decimal(24,2)) from buyers""")
+union select rfc, cast(total as decimal(24,2)) from buyers""",
+    first="select rfc, max(monto) as monto from amounts group by rfc", said=f"""
+select 'O' || cast(o_orderkey as varchar) as answer_id, {customer_id('o_orderkey')} as rfc, monto
+from orders join first on rfc = {_CUS}
+union all
+select distinct 'I' || receptor_rfc || '/' || cast(total as varchar), receptor_rfc,
+       cast(total as decimal(24,2)) from invoices""")
 _SQL["a6_report_reconciliation"] = _draft_case(f"""
 select 'MONTO' as clase, valor, cast(replace(valor, ',', '') as decimal(24,2)) in (
          select cast(total as decimal(24,2)) from invoices union all

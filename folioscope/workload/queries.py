@@ -16,6 +16,7 @@ from folioscope.operators import (audits, blacklist, cycles, detectors, evidence
                                   materiality, ranking, report, similarity, sqlgate, thresholds,
                                   views)
 from folioscope.plans import batch
+from folioscope.session import settle
 from folioscope.sources import (archive, canonical, documents, drafts, foreign, official_list,
                                 warehouse)
 from folioscope.workload.books import SETTINGS, Books, customer_id, folio, money, supplier_id
@@ -592,7 +593,8 @@ def _(b):
 # --- evidence and verdicts ------------------------------------------------------------------
 
 def _draft_evidence(b: Books) -> DataFrame:
-    return evidence.resolve_evidence(b.evidence, b.invoices, b.ledger)
+    resolved = evidence.resolve_evidence(b.evidence, b.invoices, b.ledger)
+    return settle(resolved) if b.stored else resolved
 
 
 def _draft_proofs(b: Books):
@@ -602,10 +604,19 @@ def _draft_proofs(b: Books):
     return evidence.mark_proofs(_draft_evidence(b), b.blacklist, immaterial, income), income
 
 
-def _draft_verdicts(b: Books) -> DataFrame:
-    marked, income = _draft_proofs(b)
+def _draft_case(b: Books) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, resolved evidence) of the draft leads."""
+    income = thresholds.amount_thresholds(b.ledger, SETTINGS)[1]
+    immaterial = materiality.immaterial_invoices(b.invoices, b.items, b.catalog, b.entities,
+                                                 SETTINGS)
+    resolved = _draft_evidence(b)
+    marked = evidence.mark_proofs(resolved, b.blacklist, immaterial, income)
     members = cycles.cycle_members(_cycles(b, SETTINGS.proof_min_leg))
-    return evidence.verdicts(b.leads, marked, b.entities, members, income)
+    return settle(evidence.verdicts(b.leads, marked, b.entities, members, income)), resolved
+
+
+def _draft_verdicts(b: Books) -> DataFrame:
+    return _draft_case(b)[0]
 
 
 @_registered("e1_resolved_evidence")
@@ -728,12 +739,12 @@ def _(b):
 
 @_registered("r1_case_document", stored=True)
 def _(b):
-    return report.case_document(_draft_verdicts(b), _draft_evidence(b), "2024-01-01 00:00")
+    return report.case_document(*_draft_case(b), "2024-01-01 00:00")
 
 
 @_registered("r2_case_context", stored=True)
 def _(b):
-    return report.case_context(_draft_verdicts(b), _draft_evidence(b))
+    return report.case_context(*_draft_case(b))
 
 
 @_registered("r3_run_summary", stored=True)
@@ -844,26 +855,39 @@ def _(b):
     return audits.wrong_list_status(answers(b), b.blacklist)
 
 
-def _swapped_answers(b: Books) -> DataFrame:
-    """Each invoice's receiver beside the amount of the invoice with the next folio."""
-    return b.invoices.select(
-        F.concat(F.lit("I"), F.col("uuid")).alias("answer_id"),
-        F.concat(F.lit("El caso "), "receptor_rfc", F.lit(" suma $"),
-                 F.format_number("total", 2), F.lit(" MXN; el otro, "), "emisor_rfc",
-                 F.lit(", nada. Le sigue "), "receptor_rfc", F.lit(" con "),
-                 F.format_number(F.col("total") * 2, 2)).alias("text"))
+def _swapped_answers(b: Books, amounts: DataFrame) -> DataFrame:
+    """Per confirmed amount, an answer that gives it to its owner and then to another buyer,
+    and per invoice one that gives its total to the receiver."""
+    owner = amounts.select("rfc", "monto")
+    others = b.invoices.select(
+        F.col("receptor_rfc").alias("rfc"), F.col("total").cast("decimal(24,2)").alias("monto"))
+    said = lambda who, amount: F.concat(
+        F.lit("El caso "), who, F.lit(" suma $"), F.format_number(amount, 2), F.lit(" MXN"))
+    swapped = b.raw("orders").select(
+        customer_id("o_custkey").alias("otro"), money("o_totalprice").alias("m"),
+        F.col("o_orderkey"))
+    first = owner.groupBy("rfc").agg(F.max("monto").alias("monto"))
+    by_order = swapped.join(first.select(F.col("rfc").alias("otro"), "monto"), "otro").select(
+        F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("answer_id"),
+        F.concat(said(F.col("otro"), F.col("monto")), F.lit("; "),
+                 said(customer_id("o_orderkey"), F.col("monto"))).alias("text"))
+    by_invoice = others.withColumn("answer_id", F.concat(
+        F.lit("I"), F.col("rfc"), F.lit("/"), F.col("monto").cast("string"))).select(
+        "answer_id", said(F.col("rfc"), F.col("monto")).alias("text"))
+    return by_order.unionByName(by_invoice.distinct())
 
 
-@_registered("a5_swapped_amounts")
+@_registered("a5_swapped_amounts", stored=True)
 def _(b):
     cases, rows = _confirmed_buyers(b)
-    return audits.swapped_amounts(_swapped_answers(b), audits.case_amounts(cases, rows))
+    amounts = settle(audits.case_amounts(cases, rows))
+    return audits.swapped_amounts(_swapped_answers(b, amounts), amounts)
 
 
 @_registered("a6_report_reconciliation", stored=True)
 def _(b):
-    verdicts = _draft_verdicts(b)
-    lines = report.case_document(verdicts, _draft_evidence(b), "2024-01-01 00:00")
+    verdicts, resolved = _draft_case(b)
+    lines = report.case_document(verdicts, resolved, "2024-01-01 00:00")
     return audits.reconcile_report(
         lines, b.invoices, b.ledger, b.entities,
         verdicts.where("confirmado").select(F.col("monto_total_evidencia").alias("monto")))
