@@ -173,12 +173,12 @@ class Books:
                        F.array(F.lit("Servicios de widget"), F.lit("Plate general")))
                 .when(F.col("c_mktsegment") == "MACHINERY",
                       F.array(F.lit("Gizmo para otros"), F.lit("gears"))))
-        return self.raw("customer").select(
+        return self._kept(self.raw("customer").select(
             customer_id("c_custkey").alias("rfc"), F.col("c_name").alias("razon_social"),
             F.lower("c_mktsegment").alias("giro"),
             F.array(F.lit("01010101")).alias("claves_esperadas"),
             sold.alias("descripciones_esperadas")).where(
-            F.col("descripciones_esperadas").isNotNull())
+            F.col("descripciones_esperadas").isNotNull()))
 
     @cached_property
     def leads(self) -> DataFrame:
@@ -190,11 +190,11 @@ class Books:
                   .when(F.col("o_orderpriority") == "5-LOW", "EMPRESA_FACHADA")
                   .when(status == "F", "").when(status == "O", "LAVADO")
                   .otherwise("KICKBACK_CIRCULAR"))
-        return self.raw("orders").select(
+        return self._kept(self.raw("orders").select(
             F.concat(F.lit("L"), F.col("o_orderkey").cast("string")).alias("lead_id"),
             self._accused().alias("rfc_imputado"), scheme.alias("tipo_esquema"),
             F.lit("Artículo 69-B del CFF").alias("regla_fiscal"),
-            F.concat(F.lit("Orden "), F.col("o_orderkey").cast("string")).alias("narrativa"))
+            F.concat(F.lit("Orden "), F.col("o_orderkey").cast("string")).alias("narrativa")))
 
     @staticmethod
     def _accused() -> Column:
@@ -208,7 +208,7 @@ class Books:
         foreign = (F.col("l_returnflag") == "A") & (F.col("l_discount") < 0.005)
         absent = F.col("l_quantity") >= 50
         own = folio("I", "l_orderkey", "l_suppkey")
-        return self.raw("lineitem").join(
+        return self._kept(self.raw("lineitem").join(
             self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
             F.concat(F.lit("L"), F.col("o_orderkey").cast("string")).alias("lead_id"),
             self._accused().alias("rfc_imputado"), F.col("l_linenumber").cast("long").alias("pos"),
@@ -217,4 +217,4 @@ class Books:
             F.when(~pays & ~foreign, F.when(absent, folio("X", "l_orderkey")).otherwise(own))
             .alias("uuid"),
             F.when(pays, self.payment_folio()).when(foreign, folio("E", "l_partkey"))
-            .alias("tx_id"))
+            .alias("tx_id")))

@@ -189,7 +189,7 @@ def _(b):
     return canonical.merged_blacklist(b.blacklist, _typed(b, "Lista_69B"))
 
 
-@_registered("s7_reference_violations")
+@_registered("s7_reference_violations", stored=True)
 def _(b):
     companies = b.raw("customer").select(customer_id("c_custkey").alias("rfc")).union(
         b.raw("supplier").where("s_acctbal >= 0").select(supplier_id("s_suppkey")))
@@ -619,12 +619,12 @@ def _draft_verdicts(b: Books) -> DataFrame:
     return _draft_case(b)[0]
 
 
-@_registered("e1_resolved_evidence")
+@_registered("e1_resolved_evidence", stored=True)
 def _(b):
     return _draft_evidence(b)
 
 
-@_registered("e2_evidence_totals")
+@_registered("e2_evidence_totals", stored=True)
 def _(b):
     return evidence.evidence_totals(_draft_evidence(b))
 
@@ -712,13 +712,13 @@ def _(b):
     return _findings(b).evidence.select("rfc_imputado", "tipo", "id", "contado_en_total")
 
 
-@_registered("e10_unseen_dropped_leads")
+@_registered("e10_unseen_dropped_leads", stored=True)
 def _(b):
     kept, _ = leads.drop_unseen(b.leads, b.evidence, _seen(b))
     return kept.drop("regla_fiscal", "narrativa")
 
 
-@_registered("e10_unseen_dropped_evidence")
+@_registered("e10_unseen_dropped_evidence", stored=True)
 def _(b):
     _, rows = leads.drop_unseen(b.leads, b.evidence, _seen(b))
     return rows
@@ -778,7 +778,7 @@ def _(b):
     return b.leads.select("lead_id", report.legend(F.col("tipo_esquema")).alias("leyenda"))
 
 
-@_registered("r7_evidence_rows")
+@_registered("r7_evidence_rows", stored=True)
 def _(b):
     return report.evidence_rows(_draft_evidence(b))
 
