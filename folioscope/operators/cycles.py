@@ -26,15 +26,24 @@ from folioscope.session import settle
 from folioscope.settings import Settings
 
 
-def _banded_edges(network: DataFrame, min_amount, max_ratio: float) -> DataFrame:
-    step = max(math.log(max_ratio), 1e-9) * (1 + 1e-9)
+def _edges(network: DataFrame, min_amount) -> DataFrame:
+    """Edges large enough, between nodes that both pay and are paid."""
     amount = F.col("total_transferido")
-    level = F.floor(F.log(amount.cast("double")) / F.lit(step))
-    return (network
-            .where((F.col("source") != F.col("target")) & (amount > 0)
-                   & (amount >= F.lit(min_amount)))
-            .select("source", "target", amount.cast("decimal(38,2)").alias("m"),
-                    level.alias("level"))
+    # Read three times below, so the network is summed once.
+    edges = settle(network.where(
+        (F.col("source") != F.col("target")) & (amount > 0) & (amount >= F.lit(min_amount))
+    ).select("source", "target", amount.cast("decimal(38,2)").alias("m")))
+    through = edges.select(F.col("source").alias("node")).distinct().join(
+        edges.select(F.col("target").alias("node")).distinct(), "node", "left_semi")
+    for end in ("source", "target"):
+        edges = edges.join(through.select(F.col("node").alias(end)), end, "left_semi")
+    return edges
+
+
+def _banded(edges: DataFrame, max_ratio: float) -> DataFrame:
+    step = max(math.log(max_ratio), 1e-9) * (1 + 1e-9)
+    level = F.floor(F.log(F.col("m").cast("double")) / F.lit(step))
+    return (edges.withColumn("level", level)
             .select("*", F.explode(F.array("level", F.col("level") - 1)).alias("band"))
             .withColumn("smallest_step", F.col("level") == F.col("band"))
             .drop("level"))
@@ -132,8 +141,7 @@ def money_cycles(network: DataFrame, min_amount, max_hops: int,
     A cycle starts at its smallest ID; `montos[i]` is the leg from node i to the next.
     """
     spark = network.sparkSession
-    # Pruning reads the edges several times per round, so the network is summed once.
-    edges = settle(_banded_edges(network, min_amount, max_ratio))
+    edges = _banded(_edges(network, min_amount), max_ratio)
     for _ in range(prune_rounds):
         edges = _connected(edges)
     edges = settle(edges)

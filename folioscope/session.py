@@ -52,3 +52,13 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/settled/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small input out over all cores before work that is heavy per row.
+
+    Only an input of fewer partitions than cores is dealt out; a large one already
+    has more, and is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope import fixed_values as fv
-from folioscope.session import settle, tune
+from folioscope.session import settle, spread, tune
 from folioscope.settings import Settings
 
 # The parts vocabulary of the benchmark stands in for invoice concepts.
@@ -73,6 +73,10 @@ class Books:
     def raw(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
 
+    def texts(self, table: str) -> DataFrame:
+        """A table whose rows become texts to search."""
+        return spread(self.raw(table))
+
     @cached_property
     def entities(self) -> DataFrame:
         nothing = F.lit(None).cast("string")

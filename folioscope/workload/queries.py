@@ -62,7 +62,7 @@ def _text_tables(b: Books) -> dict[str, DataFrame]:
     text_money = lambda c: money(c).cast("string")
     order_id = F.col("o_orderkey").cast("string")
     return {
-        "Entidades": b.raw("customer").select(
+        "Entidades": b.texts("customer").select(
             F.concat(F.lit("  "), customer_id("c_custkey"), F.lit(" ")).alias("rfc"),
             F.when(F.col("c_acctbal") >= -900, F.col("c_name")).alias("razon_social"),
             F.when(F.col("c_mktsegment") == "BUILDING", "12/05/2011")
@@ -75,7 +75,7 @@ def _text_tables(b: Books) -> dict[str, DataFrame]:
             .when(F.col("c_nationkey") < 15, "2.5").when(F.col("c_nationkey") < 20, "no")
             .alias("es_empresa_auditada"),
             F.col("c_custkey").alias("_row")),
-        "Lista_69B": b.raw("supplier").select(
+        "Lista_69B": b.texts("supplier").select(
             supplier_id("s_suppkey").alias("rfc"),
             F.when(F.col("s_acctbal") < 0, " definitivo").when(F.col("s_acctbal") < 5000, "Presunto")
             .when(F.col("s_acctbal") < 9000, "DESVIRTUADO").otherwise("otro").alias("situacion"),
@@ -83,7 +83,7 @@ def _text_tables(b: Books) -> dict[str, DataFrame]:
             F.when(F.col("s_acctbal") > 1000, text_money("s_acctbal"))
             .alias("monto_presunto_total"),
             F.col("s_suppkey").alias("_row")),
-        "Facturas": b.raw("orders").select(
+        "Facturas": b.texts("orders").select(
             folio("O", "o_orderkey").alias("uuid"), customer_id("o_custkey").alias("emisor_rfc"),
             customer_id("o_custkey").alias("receptor_rfc"),
             F.when(status == "F", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
@@ -99,7 +99,7 @@ def _text_tables(b: Books) -> dict[str, DataFrame]:
             F.when(F.col("o_totalprice") > 12000, "03").alias("forma_pago"),
             F.when(status == "F", "vigente").when(status == "O", "cancelado ")
             .alias("estado_cfdi"), F.col("o_orderkey").alias("_row")),
-        "Partidas": b.raw("lineitem").select(
+        "Partidas": b.texts("lineitem").select(
             folio("O", "l_orderkey").alias("invoice_uuid"),
             F.col("l_partkey").cast("string").alias("clave_prod_serv"),
             F.concat_ws(" ", F.lit(" parte"), "l_returnflag", "l_linestatus")
@@ -109,7 +109,7 @@ def _text_tables(b: Books) -> dict[str, DataFrame]:
             .otherwise("x").alias("valor_unitario"),
             text_money("l_extendedprice").alias("importe"),
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_row")),
-        "Transacciones_Bancarias": b.raw("events").select(
+        "Transacciones_Bancarias": b.texts("events").select(
             folio("E", "event_id").alias("tx_id"),
             F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("cuenta_origen_rfc"),
             F.when(F.col("value") > 0.5, F.col("event_type")).alias("cuenta_destino_rfc"),
@@ -247,7 +247,7 @@ def _(b):
 @_registered("s12a_header_names")
 def _(b):
     name = text.header_name(F.col("text"))
-    return b.raw("documents").select("doc_id", F.md5(name).alias("nombre"),
+    return b.texts("documents").select("doc_id", F.md5(name).alias("nombre"),
                                      F.length(name).alias("largo"))
 
 
@@ -268,7 +268,7 @@ def invoice_texts(b: Books) -> DataFrame:
     seller, buyer = supplier_id("o_orderkey"), customer_id("o_custkey")
     amount = F.format_number(money("o_totalprice"), 2)
     nl = F.lit("\n")
-    return b.raw("orders").select(
+    return b.texts("orders").select(
         F.col("o_orderkey").alias("doc_id"),
         F.concat(
             F.lit("Comprobante\nEmpresa "), F.col("o_orderpriority"), nl,
@@ -522,7 +522,7 @@ def _profiles(b: Books):
 @_registered("m1_folded_text")
 def _(b):
     folded = text.fold(F.col("text"))
-    return b.raw("documents").select("doc_id", F.md5(folded).alias("texto"),
+    return b.texts("documents").select("doc_id", F.md5(folded).alias("texto"),
                                      F.length(folded).alias("largo"))
 
 
@@ -808,12 +808,12 @@ def answers(b: Books) -> DataFrame:
                   F.lit("El proveedor "), supplier_id("o_orderkey"),
                   F.lit(" esta en situacion DEFINITIVO. ")))
               .otherwise(""))
-    about_orders = b.raw("orders").select(
+    about_orders = b.texts("orders").select(
         F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("answer_id"),
         F.concat(said, listed, F.lit("Folio "), folio("O", "o_orderkey")).alias("text"),
         F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("Que paso con "), rfc, F.lit("?")))
         .alias("question"))
-    about_documents = b.raw("documents").select(
+    about_documents = b.texts("documents").select(
         F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("answer_id"),
         F.concat(F.col("text"), F.lit(" No acuse a "), customer_id("doc_id"), F.lit(", "),
                  F.col("text")).alias("text"),
