@@ -49,11 +49,23 @@ def settle(df: DataFrame) -> DataFrame:
     the planner knows the size of the table.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/settled/{uuid.uuid4().hex}"
+    path = f"{_settled_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _settled_folder(spark: SparkSession) -> str:
+    """One folder per application, so a finished one can be released as a whole."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_folder(spark).rstrip('/')}/settled/{application}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what this application settled. Call it after the last result is written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_settled_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal a small input out over all cores before work that is heavy per row.
 
