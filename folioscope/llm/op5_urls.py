@@ -58,11 +58,14 @@ def parts(url: Column) -> tuple[Column, Column]:
 def grams(text: Column, least: int = 3, most: int = 4) -> Column:
     """The character n-grams of a text with marked ends; a run of digits counts as one 0."""
     text = F.concat(F.lit("^"), F.regexp_replace(text, "[0-9]+", "0"), F.lit("$"))
-    return F.flatten(F.array(*(
-        F.when(F.length(text) >= n, F.transform(
-            F.sequence(F.lit(1), F.length(text) - (n - 1)),
-            lambda i, n=n: F.substring(text, i, F.lit(n))))
-        .otherwise(F.array().cast("array<string>")) for n in range(least, most + 1))))
+    return F.flatten(F.array(*(_of_length(text, n) for n in range(least, most + 1))))
+
+
+def _of_length(text: Column, n: int) -> Column:
+    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+    return F.when(F.length(text) >= n, F.transform(
+        starts, lambda i: F.substring(text, i, F.lit(n)))).otherwise(
+        F.array().cast("array<string>"))
 
 
 def labelled_urls(spark: SparkSession, rows=LABELLED) -> DataFrame:
