@@ -177,19 +177,33 @@ def automata(benchmark: DataFrame, window: int = WINDOW,
                                      window), protocol=5)
 
 
-def _through(docs: DataFrame, stored: bytes) -> DataFrame:
-    """Add what one automaton finds to _hits (packed bits), _items and _longest."""
+def closed_hits(automaton: Automaton, words: list[bytes]) -> tuple:
+    """The hits, and those that arise when hit words are cut and the rest moves together."""
+    hit, items, longest = automaton.hits(words)
+    more = hit
+    while more is not None:
+        kept = np.flatnonzero(~hit)
+        more, _, _ = automaton.hits([words[i] for i in kept])
+        if more is not None:
+            hit[kept[more]] = True
+    return hit, items, longest
+
+
+def _through(docs: DataFrame, stored: bytes, closed: bool) -> DataFrame:
+    """Add what one automaton finds to __hits (packed bits), __items and __longest."""
     broadcast = docs.sparkSession.sparkContext.broadcast(stored)
-    fields = [c for c in docs.columns if c not in ("_hits", "_items", "_longest")]
+    fields = [c for c in docs.columns if c not in ("__hits", "__items", "__longest")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = pickle.loads(broadcast.value)
         for batch in batches:
             hits, items, longest = [], [], []
             for text, bits, known, most in zip(
-                    byte_texts(batch), batch.column("_hits").to_pylist(),
-                    batch.column("_items").to_pylist(), batch.column("_longest").to_pylist()):
-                hit, found, run = automaton.hits(words_of(text))
+                    byte_texts(batch), batch.column("__hits").to_pylist(),
+                    batch.column("__items").to_pylist(), batch.column("__longest").to_pylist()):
+                words = words_of(text)
+                hit, found, run = closed_hits(automaton, words) if closed else \
+                    automaton.hits(words)
                 if hit is not None:
                     new = np.packbits(hit)
                     bits = (new | np.frombuffer(bits, np.uint8) if bits else new).tobytes()
@@ -199,20 +213,20 @@ def _through(docs: DataFrame, stored: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in fields), pa.array(hits, pa.binary()),
                  pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64())],
-                names=[*fields, "_hits", "_items", "_longest"])
+                names=[*fields, "__hits", "__items", "__longest"])
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*fields).dtypes)
-    return docs.mapInArrow(work, schema + ", _hits binary, _items array<string>, _longest long")
+    return docs.mapInArrow(work, schema + ", __hits binary, __items array<string>, __longest long")
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-            shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The rows of docs with _hits, _items and _longest."""
+            shard_words: int = SHARD_WORDS, closed: bool = False) -> DataFrame:
+    """The rows of docs with __hits, __items and __longest."""
     prepare(docs.sparkSession)
-    found = docs.withColumns({"_hits": F.lit(None).cast("binary"),
-                              "_items": F.array().cast("array<string>"),
-                              "_longest": F.lit(0).cast("long")})
+    found = docs.withColumns({"__hits": F.lit(None).cast("binary"),
+                              "__items": F.array().cast("array<string>"),
+                              "__longest": F.lit(0).cast("long")})
     for k, stored in enumerate(automata(benchmark, window, shard_words)):
-        found = _through(settle(found) if k else found, stored)
+        found = _through(settle(found) if k else found, stored, closed)
     return found
 
 
@@ -220,16 +234,16 @@ def summary(found: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words = [len(words_of(t)) for t in byte_texts(batch)]
-            bits = batch.column("_hits").to_pylist()
+            bits = batch.column("__hits").to_pylist()
             n_hit = [int(np.unpackbits(np.frombuffer(b, np.uint8)).sum()) if b else 0
                      for b in bits]
-            items = batch.column("_items").to_pylist()
+            items = batch.column("__items").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n_words, pa.int64()),
                  pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
                  pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items],
                           pa.string()),
-                 pa.array([h > 0 for h in n_hit]), batch.column("_longest")],
+                 pa.array([h > 0 for h in n_hit]), batch.column("__longest")],
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated",
                        "longest_match"])
     return found.mapInArrow(work, "doc_id long, n_words long, n_hit long, n_items long, "
@@ -251,15 +265,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.8,
           window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Documents without hit spans; those hit over more than max_coverage are dropped.
 
-    Other columns are kept as they are, but for n_chars, which follows the text. What a
-    cut brings together is not looked at again, so callers who need that run it twice.
+    Other columns are kept as they are, but for n_chars, which follows the text. Words that
+    a cut brings together are looked at again, by one shard of items at a time.
     """
     columns = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keep = batch.column("text").to_pylist(), []
-            for i, bits in enumerate(batch.column("_hits").to_pylist()):
+            for i, bits in enumerate(batch.column("__hits").to_pylist()):
                 if bits is None:
                     keep.append(i)
                     continue
@@ -273,11 +287,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.8,
                                    pa.array(texts, pa.string())).select(columns)
             if "n_chars" in columns:
                 sizes = [n if b is None else len(t) for n, b, t in zip(
-                    batch.column("n_chars").to_pylist(), batch.column("_hits").to_pylist(), texts)]
+                    batch.column("n_chars").to_pylist(), batch.column("__hits").to_pylist(), texts)]
                 new = new.set_column(columns.index("n_chars"), "n_chars",
                                      pa.array(sizes, new.column("n_chars").type))
             yield new.take(pa.array(keep, pa.int64()))
-    return matched(docs, benchmark, window, shard_words).mapInArrow(work, docs.schema)
+    return matched(docs, benchmark, window, shard_words, closed=True).mapInArrow(
+        work, docs.schema)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

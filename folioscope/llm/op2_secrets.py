@@ -64,14 +64,14 @@ def window_spans(run: str, width: int, bits: float) -> list[tuple[int, int]]:
     counts: dict[str, int] = {}
     total, spans = 0.0, []
     for i, char in enumerate(run):
-        c = counts.get(char, 0)
-        total += weigh[c + 1] - weigh[c] if c < width else 0.0
-        counts[char] = c + 1
         if i >= width:
             gone = run[i - width]
             c = counts[gone]
             total += weigh[c - 1] - weigh[c]
             counts[gone] = c - 1
+        c = counts.get(char, 0)
+        total += weigh[c + 1] - weigh[c]
+        counts[char] = c + 1
         start = i - width + 1
         if start >= 0 and total <= most:
             if spans and start <= spans[-1][1]:

@@ -169,8 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000,
     return train(x, rows["n"].to_numpy(), rows["label"].to_numpy(float))
 
 
-def scored(docs: DataFrame, net: Network | None, *carry: str) -> DataFrame:
-    """The columns named and `score`, for every row."""
+def scored(docs: DataFrame, net: Network | None, *carry: str, name: str = "score") -> DataFrame:
+    """The columns to carry and the score, for every row."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = byte_texts(batch)
@@ -179,11 +179,11 @@ def scored(docs: DataFrame, net: Network | None, *carry: str) -> DataFrame:
                 x, counts = passages(texts[a:b])
                 score[a:b] = net.forward(x, counts)["y"]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in carry), pa.array(score)], names=[*carry, "score"])
+                [*(batch.column(c) for c in carry), pa.array(score)], names=[*carry, name])
     prepare(docs.sparkSession)
     schema = "".join(f"`{n}` {t}, " for n, t in docs.select(*carry).dtypes)
     source = docs.select(*carry, *(() if "text" in carry else ("text",)))
-    return source.mapInArrow(work, schema + "score double")
+    return source.mapInArrow(work, schema + f"`{name}` double")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
