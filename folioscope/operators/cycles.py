@@ -13,11 +13,16 @@ tables small on a large network:
 * Two halves. A cycle of n nodes is a forward path of ceil(n/2) legs and a backward
   path of floor(n/2) legs that meet, joined on (band, start, meeting node). Eight
   nodes need paths of four legs, not of eight.
+
+Only G1 lists cycles. Whether an ID is in one (D3, E5) is answered by two semi-joins
+of the halves, so the output is bounded by the half paths and not by their pairs. One
+cycle per ID (G2) goes up by length and lists only cycles with an ID that has none yet.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,21 +115,27 @@ def _first_legs(edges: DataFrame, forward: bool) -> DataFrame:
         F.col("m").alias("low"), F.col("m").alias("high"), "smallest_step")
 
 
-def _close(outward: DataFrame, homeward: DataFrame, max_ratio: float) -> DataFrame:
-    back = homeward.select(
-        "band", "start", "open", F.col("nodes").alias("b_nodes"), F.col("legs").alias("b_legs"),
-        F.col("low").alias("b_low"), F.col("high").alias("b_high"),
-        F.col("smallest_step").alias("b_smallest_step"))
-    rest = F.slice("b_nodes", F.lit(2), F.size("b_nodes"))
+def _meeting(outward: DataFrame, homeward: DataFrame,
+             max_ratio: float) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sorts of halves under names of their own, and when two of them are a cycle."""
+    back = homeward.select(*[F.col(c).alias(f"b_{c}") for c in homeward.columns])
     low, high = F.least("low", "b_low"), F.greatest("high", "b_high")
-    return (outward.join(back, ["band", "start", "open"])
+    meet = ((F.col("band") == F.col("b_band")) & (F.col("start") == F.col("b_start"))
+            & (F.col("open") == F.col("b_open"))
             # The band of a cycle is the step of its smallest leg, so it counts once.
-            .where((F.col("smallest_step") | F.col("b_smallest_step"))
-                   & (high.cast("double") / low.cast("double") <= F.lit(max_ratio))
-                   & ~F.arrays_overlap(F.col("nodes"), rest))
-            .select(F.concat(F.array("start"), "nodes", rest).alias("nodes"),
-                    F.concat("legs", "b_legs").alias("legs"),
-                    low.alias("low"), high.alias("high")))
+            & (F.col("smallest_step") | F.col("b_smallest_step"))
+            & (high.cast("double") / low.cast("double") <= F.lit(max_ratio))
+            & ~F.arrays_overlap(F.col("nodes"), F.slice("b_nodes", F.lit(2), F.size("b_nodes"))))
+    return outward, back, meet
+
+
+def _close(outward: DataFrame, homeward: DataFrame, max_ratio: float) -> DataFrame:
+    outward, back, meet = _meeting(outward, homeward, max_ratio)
+    rest = F.slice("b_nodes", F.lit(2), F.size("b_nodes"))
+    return outward.join(back, meet).select(
+        F.concat(F.array("start"), "nodes", rest).alias("nodes"),
+        F.concat("legs", "b_legs").alias("legs"),
+        F.least("low", "b_low").alias("low"), F.greatest("high", "b_high").alias("high"))
 
 
 def _from_smallest_id(values: str) -> Column:
@@ -133,37 +144,7 @@ def _from_smallest_id(values: str) -> Column:
     return F.concat(F.slice(values, at, n), F.slice(values, F.lit(1), at - 1))
 
 
-def money_cycles(network: DataFrame, min_amount, max_hops: int,
-                 max_ratio: float = Settings.max_leg_ratio,
-                 min_nodes: int = Settings.min_cycle_nodes, prune_rounds: int = 2) -> DataFrame:
-    """G1. Simple directed cycles of `min_nodes`..`max_hops` nodes with similar legs.
-
-    A cycle starts at its smallest ID; `montos[i]` is the leg from node i to the next.
-    """
-    spark = network.sparkSession
-    edges = _banded(_edges(network, min_amount), max_ratio)
-    for _ in range(prune_rounds):
-        edges = _connected(edges)
-    edges = settle(edges)
-
-    outward = {1: _first_legs(edges, True)}
-    homeward = {1: _first_legs(edges, False)}
-
-    def grown(paths, legs, forward):
-        for n in range(2, legs + 1):
-            if n not in paths:
-                paths[n] = settle(_grow(paths[n - 1], edges, max_ratio, forward))
-        return paths[legs]
-
-    closed = spark.createDataFrame(
-        [], "nodes array<string>, legs array<decimal(38,2)>, low decimal(38,2), "
-            "high decimal(38,2)")
-    for n in range(max(min_nodes, 2), max_hops + 1):
-        longer = grown(outward, -(-n // 2), True)
-        if n % 2 and longer.isEmpty():
-            break
-        closed = closed.unionByName(
-            _close(longer, grown(homeward, n // 2, False), max_ratio))
+def _listed(closed: DataFrame) -> DataFrame:
     return closed.select(
         _from_smallest_id("nodes").alias("ciclo"), F.size("nodes").alias("num_saltos"),
         F.col("low").alias("monto_minimo_tramo"),
@@ -172,20 +153,127 @@ def money_cycles(network: DataFrame, min_amount, max_hops: int,
         _from_smallest_id("legs").alias("montos"))
 
 
-def cycle_members(cycles: DataFrame) -> DataFrame:
-    """Distinct IDs that take part in some cycle."""
-    return cycles.select(F.explode("ciclo").alias("rfc")).distinct()
+class CycleSearch:
+    """Simple directed cycles of `min_nodes`..`max_hops` nodes with similar legs.
 
+    The halves are grown once and then closed in the way a question needs.
+    """
 
-def cycle_of(rfcs: DataFrame, cycles: DataFrame) -> DataFrame:
-    """G2. For each ID one cycle that contains it: fewest nodes, then smallest IDs."""
+    def __init__(self, network: DataFrame, min_amount, max_hops: int,
+                 max_ratio: float = Settings.max_leg_ratio,
+                 min_nodes: int = Settings.min_cycle_nodes, prune_rounds: int = 2):
+        edges = _banded(_edges(network, min_amount), max_ratio)
+        for _ in range(prune_rounds):      # a round reads its input three times
+            edges = settle(_connected(edges))
+        self.edges, self.max_ratio, self.least_leg = edges, max_ratio, None
+        self.lengths = range(max(min_nodes, 2), max_hops + 1)
+        self._halves = {True: {1: _first_legs(edges, True)}, False: {1: _first_legs(edges, False)}}
+
+    def at_least(self, min_amount) -> CycleSearch:
+        """The same search for cycles whose smallest leg is `min_amount` or more."""
+        part = object.__new__(CycleSearch)
+        part.__dict__ = {**self.__dict__, "least_leg": min_amount}
+        return part
+
+    def _half(self, legs: int, forward: bool) -> DataFrame:
+        known = self._halves[forward]
+        if legs not in known:
+            self._half(legs - 1, forward)
+            known[legs] = settle(_grow(known[legs - 1], self.edges, self.max_ratio, forward))
+        if self.least_leg is None:
+            return known[legs]
+        return known[legs].where(F.col("low") >= F.lit(self.least_leg))
+
+    def _pairs(self) -> Iterator[tuple[DataFrame, DataFrame]]:
+        """For each length, the forward and the backward halves of cycles of that length."""
+        for n in self.lengths:
+            outward = self._half(-(-n // 2), True)
+            if n % 2 and outward.isEmpty():
+                break
+            yield outward, self._half(n // 2, False)
+
+    def cycles(self) -> DataFrame:
+        """G1. All cycles. One starts at its smallest ID; `montos[i]` is the leg from node i to
+        the next."""
+        closed = self.edges.sparkSession.createDataFrame(
+            [], "nodes array<string>, legs array<decimal(38,2)>, low decimal(38,2), "
+                "high decimal(38,2)")
+        for outward, homeward in self._pairs():
+            closed = closed.unionByName(_close(outward, homeward, self.max_ratio))
+        return _listed(closed)
+
+    def members(self) -> DataFrame:
+        """Distinct IDs that take part in some cycle; no cycle is listed."""
+        found = self.edges.select(F.col("source").alias("rfc")).limit(0)
+        for outward, homeward in self._pairs():
+            outward, back, meet = _meeting(outward, homeward, self.max_ratio)
+            for closing, start, nodes in (
+                    (outward.join(back, meet, "left_semi"), "start", "nodes"),
+                    (back.join(outward, meet, "left_semi"), "b_start", "b_nodes")):
+                found = found.unionByName(closing.select(F.explode(
+                    F.concat(F.array(start), nodes)).alias("rfc")))
+        return found.distinct()
+
+    def smallest(self, rfcs: DataFrame) -> DataFrame:
+        """G2. For each ID one cycle that contains it: fewest nodes, then smallest IDs.
+
+        An ID is looked for among longer cycles only while it has no shorter one, and
+        only halves that hold such an ID are closed, from either side.
+        """
+        wanted, chosen = settle(rfcs.select("rfc").distinct()), None
+        for outward, homeward in self._pairs():
+            out_hit, out_rest = _holding(outward, wanted)
+            home_hit, _ = _holding(homeward, wanted)
+            closed = _listed(_close(out_hit, homeward, self.max_ratio).unionByName(
+                _close(out_rest, home_hit, self.max_ratio)))
+            found = settle(_first_cycle(closed, wanted))
+            chosen = found if chosen is None else chosen.unionByName(found)
+            wanted = settle(wanted.join(found, "rfc", "left_anti"))
+            if wanted.isEmpty():
+                break
+        if chosen is None:
+            chosen = _first_cycle(self.cycles(), wanted)
+        return chosen
+
+
+def _holding(halves: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The halves that hold a wanted ID, and the others."""
+    keys = ["band", "start", "nodes"]      # a half is a path, so these tell it
+    hit = (halves.select(*keys, F.explode(F.concat(F.array("start"), "nodes")).alias("rfc"))
+           .join(wanted, "rfc", "left_semi").select(*keys).distinct())
+    return halves.join(hit, keys, "left_semi"), halves.join(hit, keys, "left_anti")
+
+
+def _first_cycle(cycles: DataFrame, rfcs: DataFrame) -> DataFrame:
     member = cycles.select(
         F.explode("ciclo").alias("rfc"), "num_saltos", "ciclo", "montos", "ratio_monto")
-    chosen = member.join(rfcs.select("rfc").distinct(), "rfc", "left_semi").groupBy("rfc").agg(
+    chosen = member.join(rfcs, "rfc", "left_semi").groupBy("rfc").agg(
         F.min(F.struct("num_saltos", "ciclo", "montos", "ratio_monto")).alias("c"))
     return chosen.select("rfc", "c.*")
 
 
+def money_cycles(network: DataFrame, min_amount, max_hops: int,
+                 max_ratio: float = Settings.max_leg_ratio,
+                 min_nodes: int = Settings.min_cycle_nodes, prune_rounds: int = 2) -> DataFrame:
+    """G1. The list of all cycles."""
+    return CycleSearch(network, min_amount, max_hops, max_ratio, min_nodes,
+                       prune_rounds).cycles()
+
+
+def cycle_members(cycles: DataFrame | CycleSearch) -> DataFrame:
+    """Distinct IDs that take part in some cycle of a list or of a search."""
+    if isinstance(cycles, CycleSearch):
+        return cycles.members()
+    return cycles.select(F.explode("ciclo").alias("rfc")).distinct()
+
+
+def cycle_of(rfcs: DataFrame, cycles: DataFrame | CycleSearch) -> DataFrame:
+    """G2. For each ID one cycle that contains it, from a list or by a search."""
+    if isinstance(cycles, CycleSearch):
+        return cycles.smallest(rfcs)
+    return _first_cycle(cycles, rfcs.select("rfc").distinct())
+
+
 def cycle_legs(cycles: DataFrame, *keep: str) -> DataFrame:
     """One row per leg: leg number, origin, destination, amount."""
     n = F.size("ciclo")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope import fixed_values as fv
 from folioscope.functions.text import contains_any
-from folioscope.operators.cycles import cycle_members
+from folioscope.operators.cycles import CycleSearch, cycle_members
 from folioscope.operators.views import invoices_against_bank
 from folioscope.settings import Settings
 
@@ -61,9 +61,9 @@ def undeclared_income(ledger: DataFrame, threshold) -> DataFrame:
 
 
 def candidates(invoices: DataFrame, items: DataFrame, ledger: DataFrame, blacklist: DataFrame,
-               cycles: DataFrame, income_threshold,
+               cycles: DataFrame | CycleSearch, income_threshold,
                settings: Settings = Settings()) -> DataFrame:
-    """D6. (rfc, detectores): every nominated ID with the detectors that nominated it.
+    """D6. (rfc, detectores), by rfc: every nominated ID with the detectors that nominated it.
 
     `cycles` are those above the cycle threshold.
     """
@@ -76,4 +76,4 @@ def candidates(invoices: DataFrame, items: DataFrame, ledger: DataFrame, blackli
     }
     tagged = [df.select("rfc", F.lit(name).alias("detector")) for name, df in nominated.items()]
     return (reduce(DataFrame.union, tagged).groupBy("rfc")
-            .agg(F.array_sort(F.collect_set("detector")).alias("detectores")))
+            .agg(F.array_sort(F.collect_set("detector")).alias("detectores")).orderBy("rfc"))

@@ -41,8 +41,10 @@ def resolve_evidence(evidence: DataFrame, invoices: DataFrame, ledger: DataFrame
     """
     kind = F.when(F.col("tipo").isin(fv.INVOICE_KIND, fv.TRANSFER_KIND), F.col("tipo")).otherwise(
         F.when(F.col("uuid") != "", F.lit(fv.INVOICE_KIND)).otherwise(F.lit(fv.TRANSFER_KIND)))
-    cited = (evidence.withColumn("id", cited_id()).where(~blank(F.col("id")))
-             .withColumn("tipo", kind))
+    # An item is shown under the identifier it is looked up by, if it has that one.
+    own = F.when(F.col("tipo") == fv.TRANSFER_KIND, cited_id("tx_id", "uuid")).otherwise(cited_id())
+    cited = (evidence.withColumn("tipo", kind).withColumn("id", own)
+             .where(~blank(F.col("id"))))
     accused = F.col("rfc_imputado")
 
     bills = cited.where(F.col("tipo") == fv.INVOICE_KIND).join(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope import fixed_values as fv
 from folioscope.operators.blacklist import finally_listed, status_lookup
-from folioscope.operators.cycles import cycle_legs, cycle_of
+from folioscope.operators.cycles import CycleSearch, cycle_legs, cycle_members, cycle_of
 from folioscope.operators.detectors import unbacked_transfers
 from folioscope.operators.evidence import cited_id
 
@@ -73,7 +73,8 @@ def cases_by_scheme(cases: DataFrame) -> DataFrame:
 
 
 def scheme_evidence(invoices: DataFrame, ledger: DataFrame, blacklist: DataFrame,
-                    cycles: DataFrame, immaterial: DataFrame, income_threshold) -> DataFrame:
+                    cycles: DataFrame | CycleSearch, immaterial: DataFrame,
+                    income_threshold) -> DataFrame:
     """(rfc, prioridad, tipo, uuid, tx_id): the rows that prove a scheme, for every ID.
 
     A company that issues no invoice of its own is a front (EMPRESA_FACHADA) where
@@ -93,8 +94,7 @@ def scheme_evidence(invoices: DataFrame, ledger: DataFrame, blacklist: DataFrame
     from_listed = invoices.select("uuid", "emisor_rfc", F.col("receptor_rfc").alias("rfc")).join(
         listed, "emisor_rfc", "left_semi")
 
-    members = cycles.select(F.explode("ciclo").alias("rfc")).distinct()
-    legs = cycle_legs(cycle_of(members, cycles), "rfc").where(
+    legs = cycle_legs(cycle_of(cycle_members(cycles), cycles), "rfc").where(
         (F.col("rfc") == F.col("origen")) | (F.col("rfc") == F.col("destino")))
     on_legs = ledger.select("tx_id", F.col("cuenta_origen_rfc").alias("origen"),
                             F.col("cuenta_destino_rfc").alias("destino")).join(

@@ -1,9 +1,9 @@
 """M2-M4. Does an invoiced concept fit the business of the company that received it?
 
 A profile word has no white space in it, so it occurs in a concept exactly when it
-occurs inside one of the concept's words. Words are therefore matched by an
-equi-join on (company, five letters) followed by a prefix check, as a semi-join:
-concepts and profile words of one company are never paired with each other.
+occurs inside one of the concept's words. Each distinct word of a company's concepts is
+cut into its parts of the lengths that the company's profile words have, and those are
+looked up by equality: concepts and profile words are never paired with each other.
 """
 
 from __future__ import annotations
@@ -75,23 +75,18 @@ def profile_words(descriptions: DataFrame, stop_words=Settings.profile_stop_word
 
 def _fits(concepts: DataFrame, words: DataFrame) -> DataFrame:
     """(rfc, concepto) pairs that contain a profile word of the same company."""
-    tokens = (concepts.select("rfc", "concepto", "normal")
-              .select("rfc", "concepto", F.explode(F.array_distinct(
-                  F.split("normal", r"(?U)\s+"))).alias("token"))
-              .where(F.length("token") >= _SHORTEST_WORD))
-    tails = tokens.select(
-        "rfc", "concepto",
-        F.explode(F.transform(
-            F.sequence(F.lit(1), F.length("token") - (_SHORTEST_WORD - 1)),
-            lambda i: F.substring(F.col("token"), i, F.length("token")))).alias("cola"))
-    tails = tails.withColumn("inicio", F.left("cola", F.lit(_SHORTEST_WORD))).alias("t")
-    starts = words.select(
-        "rfc", "palabra", F.left("palabra", F.lit(_SHORTEST_WORD)).alias("inicio")).alias("w")
-    return tails.join(
-        starts,
-        (F.col("t.rfc") == F.col("w.rfc")) & (F.col("t.inicio") == F.col("w.inicio"))
-        & F.startswith(F.col("t.cola"), F.col("w.palabra")),
-        "left_semi").select("rfc", "concepto").distinct()
+    tokens = (concepts.select("rfc", "concepto", F.explode(F.array_distinct(
+        F.split("normal", r"(?U)\s+"))).alias("token"))
+        .where(F.length("token") >= _SHORTEST_WORD))
+    lengths = words.groupBy("rfc").agg(F.collect_set(F.length("palabra")).alias("largos"))
+    parts = (tokens.select("rfc", "token").distinct().join(lengths, "rfc")
+             .select("rfc", "token", F.explode(F.filter(
+                 "largos", lambda n: n <= F.length("token"))).alias("largo"))
+             .select("rfc", "token", F.explode(F.transform(
+                 F.sequence(F.lit(1), F.length("token") - F.col("largo") + 1),
+                 lambda i: F.substring("token", i, F.col("largo")))).alias("palabra")))
+    found = parts.join(words, ["rfc", "palabra"], "left_semi").select("rfc", "token").distinct()
+    return tokens.join(found, ["rfc", "token"], "left_semi").select("rfc", "concepto").distinct()
 
 
 def _concepts(pairs: DataFrame, generic_terms) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from folioscope import fixed_values as fv
 from folioscope.functions.text import money_text, quoted
 from folioscope.operators.blacklist import finally_listed
-from folioscope.operators.cycles import cycle_legs, cycle_of
+from folioscope.operators.cycles import CycleSearch, cycle_legs, cycle_of
 from folioscope.operators.ranking import numbered
 
 LINE_ORDER = ("parte", "numero", "linea", "pos", "id")
@@ -154,7 +154,7 @@ def run_summary(verdicts: DataFrame) -> DataFrame:
         .cast("decimal(24,2)").alias("monto_acreditado"))
 
 
-def money_trail(cases: DataFrame, resolved: DataFrame, cycles: DataFrame,
+def money_trail(cases: DataFrame, resolved: DataFrame, cycles: DataFrame | CycleSearch,
                 blacklist: DataFrame) -> tuple[DataFrame, DataFrame]:
     """R4. (edges, nodes) of each case's money trail.
 

@@ -91,3 +91,30 @@ def test_numbers_are_consecutive_over_all_partitions(spark):
     rows = ranking.numbered(df, "n", "k").collect()
     assert [r["k"] for r in sorted(rows, key=lambda r: r["n"])] == sorted(r["k"] for r in rows)
     assert sorted(r["n"] for r in rows) == list(range(1, len(rows) + 1))
+
+
+def _dense(seed):
+    """Equal amounts between almost all pairs of a few nodes, and a long thin ring."""
+    chance = random.Random(seed)
+    nodes = [f"N{i}" for i in range(7)]
+    edges = {(a, b): Decimal(100) for a in nodes for b in nodes
+             if a != b and chance.random() < 0.6}
+    ring = [f"R{i}" for i in range(6)]
+    edges |= {(a, b): Decimal(55) for a, b in zip(ring, ring[1:] + ring[:1])}
+    return edges | {("R0", "N0"): Decimal(100), ("Z", "N1"): Decimal(100)}
+
+
+@pytest.mark.parametrize("seed,hops", [(1, 8), (2, 5), (3, 3)])
+def test_membership_and_smallest_cycle_without_listing(spark, seed, hops):
+    edges = _dense(seed)
+    brute = {(p, legs) for p, legs in _brute_force(edges, 50, hops, 1.3)}
+    search = cycles.CycleSearch(_network(spark, edges), 50, hops, 1.3)
+    nodes = sorted({n for e in edges for n in e})
+    assert {r["rfc"] for r in search.members().collect()} == {n for p, _ in brute for n in p}
+    ids = spark.createDataFrame([(n,) for n in nodes], "rfc string")
+    best = {n: min(((len(p), p) for p, _ in brute if n in p), default=None) for n in nodes}
+    got = {r["rfc"]: (r["num_saltos"], tuple(r["ciclo"])) for r in search.smallest(ids).collect()}
+    assert got == {n: b for n, b in best.items() if b}
+    large = search.at_least(60)
+    assert {r["rfc"] for r in large.members().collect()} == {
+        n for p, legs in brute if min(legs) >= 60 for n in p}
