@@ -213,3 +213,8 @@ COLOR_LISTED = "#7A1F1F"
 COLOR_OTHER = "#E8EEF5"
 COLOR_OTHER_TEXT = "#1F4E79"
 COLOR_EDGE = "#6E7A86"
+
+# --- Fixed values: patterns around a draft written as text ---------------------
+FENCE_OPENING = r"^```(?:json)?"
+FENCE_CLOSING = r"```$"
+BRACED = r"(?s)\{.*\}"

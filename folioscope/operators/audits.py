@@ -31,6 +31,19 @@ def invented_identifiers(answers: DataFrame, seen: DataFrame) -> DataFrame:
         seen.select("answer_id", "id"), ["answer_id", "id"], "left_anti")
 
 
+def seen_identifiers(answers: DataFrame, shown: DataFrame) -> DataFrame:
+    """(answer_id, id): what A2 takes as seen. `answers` has answer_id and lead_id, `shown` has
+    lead_id and texto: the lines of the case text (R2) and of tool results."""
+    cited = shown.select("lead_id", F.explode(identifiers(F.col("texto"))).alias("id")).distinct()
+    return answers.select("answer_id", "lead_id").join(cited, "lead_id").select("answer_id", "id")
+
+
+def not_audited(confirmed: DataFrame) -> DataFrame:
+    """Confirmed IDs of another shape than a tax ID's, which A3-A5 do not look for."""
+    return confirmed.where(~F.upper("rfc_imputado").rlike(f"^{fv.TAXID_SHAPE}$")).select(
+        "rfc_imputado").distinct()
+
+
 def denied_cases(texts: DataFrame, confirmed: DataFrame) -> DataFrame:
     """A3. (answer_id, rfc): confirmed IDs a text presents as not accused.
 
@@ -77,11 +90,13 @@ def case_amounts(confirmed: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def swapped_amounts(texts: DataFrame, amounts: DataFrame) -> DataFrame:
-    """A5. (answer_id, rfc, monto, dueno): an amount near a confirmed ID that is another's.
+    """A5. (answer_id, rfc, monto, dueno, n_duenos): an amount near a confirmed ID that is
+    another's.
 
-    Within 120 characters of the ID, exact letter case. One amount per text and ID,
-    the first found; one row per case that really has that amount. An amount no case
-    has is not reported, it may come from a legitimate query.
+    Within 120 characters of the ID, exact letter case. One row per text and ID, with the
+    first such amount, the first case that has it, and how many have it; `amount_owners`
+    lists them. An amount no case has is not reported, it may come from a legitimate
+    query.
     """
     found = taxid_mentions(texts, "answer_id", "text", fv.MONEY_WINDOW)
     around = F.concat("before", "rfc", "after")
@@ -92,14 +107,20 @@ def swapped_amounts(texts: DataFrame, amounts: DataFrame) -> DataFrame:
         "answer_id", "rfc", "ordinal", "place",
         F.replace("figure", F.lit(","), F.lit("")).try_cast("decimal(24,2)").alias("monto"))
     accused = amounts.select("rfc").distinct()
-    owners = amounts.select("monto", F.col("rfc").alias("dueno"))
+    owners = amount_owners(amounts).groupBy("monto").agg(
+        F.min("dueno").alias("dueno"), F.count("*").alias("n_duenos"))
     foreign = (figures.join(accused, "rfc", "left_semi")
                .join(amounts, ["rfc", "monto"], "left_anti")
-               .join(owners.select("monto").distinct(), "monto", "left_semi"))
+               .join(owners, "monto", "left_semi"))
     first = foreign.groupBy("answer_id", "rfc").agg(
         F.min(F.struct("ordinal", "place", "monto")).alias("f")).select(
         "answer_id", "rfc", F.col("f.monto").alias("monto"))
-    return first.join(owners, "monto").select("answer_id", "rfc", "monto", "dueno")
+    return first.join(owners, "monto").select("answer_id", "rfc", "monto", "dueno", "n_duenos")
+
+
+def amount_owners(amounts: DataFrame) -> DataFrame:
+    """(monto, dueno): the cases that have each amount."""
+    return amounts.select("monto", F.col("rfc").alias("dueno")).distinct()
 
 
 def reconcile_report(lines: DataFrame, invoices: DataFrame, ledger: DataFrame,

@@ -34,11 +34,18 @@ def nearest_known(read: DataFrame, known: DataFrame, max_edits: int = 2) -> Data
             .select("leido", "sugerido", "distancia").distinct())
 
 
+def suggestions(read: DataFrame, known: DataFrame, max_edits: int = 2) -> DataFrame:
+    """I6. (leido, sugerido, distancia): every suggestion for the IDs that are not known."""
+    unknown = read.select(clean_taxid(F.col("rfc")).alias("rfc")).join(known, "rfc", "left_anti")
+    return nearest_known(unknown, known, max_edits)
+
+
 def screen_read_ids(read: DataFrame, known: DataFrame, max_edits: int = 2) -> DataFrame:
     """I6. Is an ID read from a document safe to use as a key? It is never rejected.
 
     Known IDs are trusted; others only with a right check character and nothing
-    similar known. One row per distinct ID, with the three nearest suggestions.
+    similar known. One row per distinct ID, with the number of suggestions and the three
+    nearest ones for the text; `suggestions` has them all as rows.
     """
     ids = read.select(clean_taxid(F.col("rfc")).alias("rfc")).where("rfc is not null").distinct()
     marked = ids.join(known.select("rfc", F.lit(True).alias("conocido")), "rfc", "left").select(
@@ -48,17 +55,19 @@ def screen_read_ids(read: DataFrame, known: DataFrame, max_edits: int = 2) -> Da
     near = nearest_known(marked.where(~F.col("conocido")), known, max_edits)
     nearest_first = Window.partitionBy("leido").orderBy("distancia", "sugerido")
     top = (near.withColumn("puesto", F.row_number().over(nearest_first))
-           .where(F.col("puesto") <= _SUGGESTIONS_SHOWN)
            .groupBy(F.col("leido").alias("rfc"))
            .agg(F.array_join(F.transform(
-               F.array_sort(F.collect_list(F.struct("puesto", "sugerido"))),
-               lambda s: s["sugerido"]), ", ").alias("sugerencias")))
+               F.array_sort(F.collect_list(F.when(
+                   F.col("puesto") <= _SUGGESTIONS_SHOWN, F.struct("puesto", "sugerido")))),
+               lambda s: s["sugerido"]), ", ").alias("sugerencias"),
+               F.count("*").alias("n_sugerencias")))
     reason = (F.when(F.col("conocido"), "CONOCIDO")
               .when(~F.col("checksum_ok"), "DIGITO_INCORRECTO")
               .when(F.col("checksum_ok").isNull(), "SIN_FORMA_DE_RFC")
               .otherwise("DIGITO_CORRECTO_NO_REGISTRADO"))
     return marked.join(top, "rfc", "left").select(
         "rfc", "conocido", "checksum_ok", "digito_esperado",
-        F.coalesce("sugerencias", F.lit("")).alias("sugerencias"), reason.alias("motivo"),
+        F.coalesce("sugerencias", F.lit("")).alias("sugerencias"),
+        F.coalesce("n_sugerencias", F.lit(0)).alias("n_sugerencias"), reason.alias("motivo"),
         (F.col("conocido") | (F.coalesce("checksum_ok", F.lit(False))
                               & F.col("sugerencias").isNull())).alias("confiable"))

@@ -32,7 +32,7 @@ LEDGER = _schema(
     ("monto", MONEY), ("referencia_bancaria", T.StringType()), ("cfdi_uuid", T.StringType()))
 CASES = _schema(
     ("case_id", T.StringType()), ("rfc_imputado", T.StringType()),
-    ("tipo_esquema", T.StringType()), ("monto_total_evidencia", MONEY),
+    ("tipo_esquema", T.StringType()), ("monto_total_evidencia", T.DecimalType(24, 2)),
     ("estatus_dictamen", T.StringType()), ("justificacion_legal", T.StringType()),
     ("regla_violada", T.StringType()), ("fecha_dictamen", T.TimestampNTZType()))
 SECTOR_CATALOG = _schema(

@@ -64,13 +64,3 @@ def release(spark: SparkSession) -> None:
     """Remove what this application settled. Call it after the last result is written."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_settled_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a small input out over all cores before work that is heavy per row.
-
-    Only an input of fewer partitions than cores is dealt out; a large one already
-    has more, and is left where it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

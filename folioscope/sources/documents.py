@@ -140,6 +140,33 @@ def invoice_rows(fields: DataFrame, doc_id: str = "doc_id") -> dict[str, DataFra
             "rechazados": rejected}
 
 
+def canonical_sheets(documents: DataFrame, doc_id: str = "doc_id",
+                     text: str = "text") -> tuple[dict[str, DataFrame], DataFrame]:
+    """S15, S20. (text tables as a folder of tables would have them, report) of documents.
+
+    Only documents with enough text are read; the report lists the others, too.
+    """
+    routed = route_documents(documents, text)
+    fields = settle(extract_invoice_fields(routed.where(F.col("ruta") == "TEXTO"), doc_id, text))
+    rows = invoice_rows(fields, doc_id)
+    sheets = {}
+    for sheet in ("Entidades", "Facturas", "Partidas"):
+        # Later rows of a key replace earlier ones, so the places are fixed by writing them.
+        sheets[sheet] = settle(rows[sheet].select(
+            *[F.col(c).cast("string").alias(c) for c in fv.REQUIRED_COLUMNS[sheet]],
+            F.monotonically_increasing_id().alias("_row")))
+    note = lambda df, kind, value: df.select(
+        F.col(doc_id).cast("string").alias("documento"), F.lit(kind).alias("nota"),
+        value.cast("string").alias("valor"))
+    report = (note(rows["rechazados"], "FALTAN_CAMPOS", F.col("faltantes"))
+              .unionByName(note(routed.where(F.col("ruta") != "TEXTO"), "SIN_TEXTO", F.col("ruta")))
+              .unionByName(note(fields.where("rfc_pac is not null"), "TIMBRADO_IGNORADO",
+                                F.col("rfc_pac")))
+              .unionByName(note(rows["Entidades"].where("es_empresa_auditada = 'TRUE'"),
+                                "AUDITADA", F.col("rfc"))))
+    return sheets, report
+
+
 def review_parties(fields: DataFrame, screened: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """S15. The screening verdict of each party a document names."""
     named = missing_fields(fields).where(F.size("faltantes") == 0).select(doc_id, F.explode(

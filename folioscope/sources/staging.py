@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope import fixed_values as fv
+from folioscope.session import settle
 
 FORMATS = ("csv", "json", "parquet")
 
@@ -34,7 +35,9 @@ def with_row_number(df: DataFrame) -> DataFrame:
 
     Splits of a file are not processed in file order, so the place is the number of
     rows in earlier blocks plus the place within the block. The one unpartitioned
-    window runs over one row per block (128 MB of input each).
+    window runs over one row per block (128 MB of input each). Its result is written,
+    so the planner knows its size: below the broadcast threshold the rows of the table
+    stay where they are, and beyond it both sides are shuffled.
     """
     placed = df.select(
         "*", F.col("_metadata.file_path").alias("_file"),
@@ -43,9 +46,9 @@ def with_row_number(df: DataFrame) -> DataFrame:
     blocks = placed.groupBy("_file", "_block").agg(
         F.min("_seq").alias("_first"), F.count("*").alias("_n"))
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(
+    offsets = settle(blocks.select(
         "_file", "_block",
-        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")))
     return (placed.join(offsets, ["_file", "_block"])
             .withColumn("_row", F.col("_seq") + F.col("_shift"))
             .drop("_file", "_block", "_seq", "_shift"))

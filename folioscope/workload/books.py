@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope import fixed_values as fv
-from folioscope.session import settle, spread, tune
+from folioscope.session import settle, tune
 from folioscope.settings import Settings
 
 # The parts vocabulary of the benchmark stands in for invoice concepts.
@@ -73,10 +73,6 @@ class Books:
     def raw(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
 
-    def texts(self, table: str) -> DataFrame:
-        """A table whose rows become texts to search."""
-        return spread(self.raw(table))
-
     @cached_property
     def entities(self) -> DataFrame:
         nothing = F.lit(None).cast("string")
@@ -207,10 +203,16 @@ class Books:
 
     @cached_property
     def evidence(self) -> DataFrame:
-        """Each line of the order cites its invoice, or its payment, or something wrong."""
+        """Each line of the order cites its invoice, or its payment, or something wrong.
+
+        Every other payment also names its invoice, and some items carry a payment's
+        identifier where an invoice's belongs.
+        """
         pays = (F.col("l_returnflag") == "R") & (F.col("l_tax") > 0.075)
         foreign = (F.col("l_returnflag") == "A") & (F.col("l_discount") < 0.005)
         absent = F.col("l_quantity") >= 50
+        both = pays & (F.col("l_linenumber") % 2 == 0)
+        wrong = ~pays & ~foreign & (F.col("l_quantity") == 49)
         own = folio("I", "l_orderkey", "l_suppkey")
         return self._kept(self.raw("lineitem").join(
             self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
@@ -218,7 +220,7 @@ class Books:
             self._accused().alias("rfc_imputado"), F.col("l_linenumber").cast("long").alias("pos"),
             F.when(pays | foreign, fv.TRANSFER_KIND).when(F.col("l_linestatus") == "F",
                                                           fv.INVOICE_KIND).alias("tipo"),
-            F.when(~pays & ~foreign, F.when(absent, folio("X", "l_orderkey")).otherwise(own))
-            .alias("uuid"),
-            F.when(pays, self.payment_folio()).when(foreign, folio("E", "l_partkey"))
+            F.when(both, own).when(~pays & ~foreign & ~wrong, F.when(
+                absent, folio("X", "l_orderkey")).otherwise(own)).alias("uuid"),
+            F.when(pays | wrong, self.payment_folio()).when(foreign, folio("E", "l_partkey"))
             .alias("tx_id")))

@@ -111,10 +111,11 @@ select 'L' || cast(o_orderkey as varchar) as lead_id, {_ACCUSED} as rfc_imputado
        cast(l_linenumber as bigint) as pos,
        case when pays or strange then 'transferencia' when l_linestatus = 'F' then 'factura' end
             as tipo,
-       case when not pays and not strange then
+       case when pays and l_linenumber % 2 = 0 then {OWN_INVOICE}
+            when not pays and not strange and l_quantity <> 49 then
             case when l_quantity >= 50 then {folio('X', 'l_orderkey')} else {OWN_INVOICE} end
             end as uuid,
-       case when pays then {PAYMENT} when strange then {folio('E', 'l_partkey')} end as tx_id
+       case when pays or not strange and l_quantity = 49 then {PAYMENT} when strange then {folio('E', 'l_partkey')} end as tx_id
 from (select *, l_returnflag = 'R' and l_tax > 0.075 as pays,
              l_returnflag = 'A' and l_discount < 0.005 as strange from lineitem) l
 join orders on l_orderkey = o_orderkey""",

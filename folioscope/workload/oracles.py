@@ -113,15 +113,17 @@ select distinct r.uuid, r.rfc from received r join judged j
 on j.rfc = r.rfc and j.concepto = r.concepto where j.match = false""",
 }
 
-_ID = "case when uuid <> '' then uuid else tx_id end"
+_KIND = """case when tipo in ('factura', 'transferencia') then tipo
+            when uuid <> '' then 'factura' else 'transferencia' end"""
+# The identifier an item is looked up by, or else the other one.
+_ID = f"""case when ({_KIND}) = 'factura' then case when uuid <> '' then uuid else tx_id end
+            when tx_id <> '' then tx_id else uuid end"""
 
 
 def _resolved(evidence: str = "evidence") -> dict:
     return {
         "cited": f"""
-select lead_id, rfc_imputado, pos, {_ID} as id, uuid, tx_id,
-       case when tipo in ('factura', 'transferencia') then tipo
-            when uuid <> '' then 'factura' else 'transferencia' end as tipo
+select lead_id, rfc_imputado, pos, {_ID} as id, uuid, tx_id, {_KIND} as tipo
 from {evidence} where trim(coalesce({_ID}, '')) <> ''""",
         "looked_up": """
 select c.lead_id, c.rfc_imputado, c.pos, c.tipo, c.id, c.uuid, cast(null as varchar) as tx_id,
@@ -332,24 +334,41 @@ select rfc, situacion, cast(publicacion_dof as varchar) as publicacion_dof,
 from blacklist where rfc not in (select rfc from incoming)
 union all select * from incoming""", "blacklist", incoming=_TEXT_LIST)
 
+_SQL["s1_read_table"] = """
+select cast(c_custkey as varchar) as c_custkey, c_name, cast(c_acctbal as varchar) as c_acctbal,
+       c_mktsegment from customer"""
+_SQL["s1_row_numbers"] = """
+select 0 as primera, count(*) - 1 as ultima, count(*) as distintas from lineitem"""
+_SQL["s8_stored_invoices"] = with_tables("""
+select uuid, emisor_rfc, receptor_rfc, cast(total as double) as total, metodo_pago, estado_cfdi
+from invoices""", "invoices")
+_SQL["s17c_archived_cases"] = _draft_case("""
+select lead_id, rfc_imputado, tipo_esquema,
+       cast(monto_total_evidencia as double) as monto_total_evidencia
+from verdicts where confirmado""")
 _SQL["s7_reference_violations"] = with_tables("""
 select tabla, columna, valor, count(*) as n from (
-  select 'invoices' as tabla, 'emisor_rfc' as columna, emisor_rfc as valor from valid
-  where emisor_rfc not in (select rfc from companies)
-  union all select 'invoices', 'receptor_rfc', receptor_rfc from valid
-  where receptor_rfc not in (select rfc from companies)
+  select 'invoices' as tabla, 'emisor_rfc' as columna, emisor_rfc as valor from bills
+  where emisor_rfc not in (select rfc from entities)
+  union all select 'invoices', 'receptor_rfc', receptor_rfc from bills
+  where receptor_rfc not in (select rfc from entities)
   union all select 'invoice_items', 'invoice_uuid', invoice_uuid from items
-  where invoice_uuid not in (select uuid from valid)
-  union all select 'bank_ledger', 'cuenta_origen_rfc', cuenta_origen_rfc from ledger
-  where cuenta_origen_rfc not in (select rfc from companies)
-  union all select 'bank_ledger', 'cuenta_destino_rfc', cuenta_destino_rfc from ledger
-  where cuenta_destino_rfc not in (select rfc from companies)
-  union all select 'bank_ledger', 'cfdi_uuid', cfdi_uuid from ledger
-  where cfdi_uuid is not null and cfdi_uuid not in (select uuid from valid))
-group by 1, 2, 3""", "invoices items ledger",
-    companies=f"""select {customer_id('c_custkey')} as rfc from customer
-union all select {supplier_id('s_suppkey')} from supplier where s_acctbal >= 0""",
-    valid="select * from invoices where estado_cfdi = 'VIGENTE'")
+  where invoice_uuid not in (select uuid from bills)
+  union all select 'bank_ledger', 'cuenta_origen_rfc', cuenta_origen_rfc from moves
+  where cuenta_origen_rfc not in (select rfc from entities)
+  union all select 'bank_ledger', 'cuenta_destino_rfc', cuenta_destino_rfc from moves
+  where cuenta_destino_rfc not in (select rfc from entities)
+  union all select 'bank_ledger', 'cfdi_uuid', cfdi_uuid from moves
+  where cfdi_uuid is not null and cfdi_uuid not in (select uuid from bills))
+group by 1, 2, 3""", "entities invoices items ledger",
+    bills="""select case when estado_cfdi = 'CANCELADO' then 'x' || uuid else uuid end as uuid,
+       case when total > 50000 then lower(emisor_rfc) else emisor_rfc end as emisor_rfc,
+       case when total < 2000 then lower(receptor_rfc) else receptor_rfc end as receptor_rfc
+from invoices""",
+    moves="""select case when monto > 50000 then lower(cuenta_origen_rfc) else cuenta_origen_rfc
+            end as cuenta_origen_rfc,
+       case when monto < 2000 then lower(cuenta_destino_rfc) else cuenta_destino_rfc
+            end as cuenta_destino_rfc, cfdi_uuid from ledger""")
 
 _SQL["s9_load_counts"] = with_tables("""
 select 'entities' as tabla, count(*) as n from entities
@@ -359,19 +378,21 @@ union all select 'invoice_items', count(*) from items
 union all select 'bank_ledger', count(*) from ledger""",
     "entities blacklist invoices items ledger")
 
+# Two rows of a list in a row may name the same ID, and the later one may be older.
 _LISTS = f"""
-select 1 as lista, {supplier_id('s_suppkey')} as rfc, s_name as razon_social,
+select 1 as lista, s_suppkey as fila, {supplier_id('(s_suppkey // 2)')} as rfc, s_name as razon_social,
        'DEFINITIVO' as situacion,
        date '2020-01-01' + cast(s_nationkey * 90 as integer) as publicacion_dof
 from supplier where s_acctbal > 0 and s_nationkey < 22
 union all
-select 2, case when c_mktsegment = 'FURNITURE' then {supplier_id('c_custkey')}
-               else {customer_id('c_custkey')} end, c_name, 'PRESUNTO',
+select 2, c_custkey, case when c_mktsegment = 'FURNITURE' then {supplier_id('(c_custkey // 2)')}
+               else {customer_id('(c_custkey // 2)')} end, c_name, 'PRESUNTO',
        date '2020-01-01' + cast(c_nationkey * 90 as integer)
 from customer where c_acctbal > 0 and c_nationkey < 22"""
 _MERGED = """
-select rfc, arg_max(razon_social, lista) as razon_social, arg_max(situacion, lista) as situacion,
-       arg_max(publicacion_dof, lista) as publicacion_dof from lists group by rfc"""
+select rfc, arg_max(razon_social, (lista, fila)) as razon_social,
+       arg_max(situacion, (lista, fila)) as situacion,
+       arg_max(publicacion_dof, (lista, fila)) as publicacion_dof from lists group by rfc"""
 
 _SQL["s10_official_list"] = f"""
 with lists as ({_LISTS})
@@ -478,12 +499,13 @@ from ids i left join known k on k.rfc = i.rfc""",
 select c.rfc, k.rfc as sugerido, levenshtein(c.rfc, k.rfc) as distancia
 from checked c join known k on not c.conocido and levenshtein(c.rfc, k.rfc) <= 2""",
         "top": """
-select rfc, string_agg(sugerido, ', ' order by distancia, sugerido) as sugerencias from (
+select rfc, string_agg(sugerido, ', ' order by distancia, sugerido) filter (puesto <= 3)
+       as sugerencias, count(*) as n_sugerencias from (
   select *, row_number() over (partition by rfc order by distancia, sugerido) as puesto from near)
-where puesto <= 3 group by rfc""",
+group by rfc""",
         "screened": """
 select c.rfc, conocido, right(c.rfc, 1) = digito_esperado as checksum_ok, digito_esperado,
-       coalesce(sugerencias, '') as sugerencias,
+       coalesce(sugerencias, '') as sugerencias, coalesce(n_sugerencias, 0) as n_sugerencias,
        case when conocido then 'CONOCIDO'
             when right(c.rfc, 1) <> digito_esperado then 'DIGITO_INCORRECTO'
             when digito_esperado is null then 'SIN_FORMA_DE_RFC'
@@ -581,6 +603,9 @@ select leido, k.rfc as sugerido, levenshtein(leido, k.rfc) as distancia
 from (select distinct upper(trim(rfc)) as leido from read_ids)
 join known k on levenshtein(leido, k.rfc) <= 2""",
     "entities blacklist", known=_KNOWN, read_ids=_MISREAD)
+_SQL["i6_suggestions"] = with_tables(
+    "select rfc as leido, sugerido, distancia from near", "entities blacklist",
+    **_screened(_MISREAD))
 _SQL["i6_screening"] = with_tables(
     "select * from screened", "entities blacklist", **_screened(_MISREAD))
 
@@ -715,8 +740,14 @@ _SQL["e5_proof_cycle"] = with_tables(
 _SQL["e6_proof_materiality"] = _draft_case(
     "select distinct lead_id from marked where prueba_materialidad")
 _SQL["e7_proof_income"] = with_tables("""
-select tx_id as lead_id from ledger where cfdi_uuid is null
-and monto >= (select ingreso from thresholds)""", "ledger", thresholds=_THRESHOLDS)
+select distinct e.lead_id from (
+  select lead_id, rfc_imputado, tx_id from evidence
+  where tipo = 'transferencia' or (tipo is null and coalesce(uuid, '') = '')
+  union all select tx_id, cuenta_destino_rfc, tx_id from ledger
+  union all select 'de:' || tx_id, cuenta_origen_rfc, tx_id from ledger) e
+join ledger l on l.tx_id = e.tx_id
+where l.cfdi_uuid is null and l.cuenta_destino_rfc = e.rfc_imputado
+  and l.monto >= (select ingreso from thresholds)""", "ledger evidence", thresholds=_THRESHOLDS)
 
 _AUDITED = "select rfc from entities where es_empresa_auditada"
 _SQL["e8a_dossier"] = with_tables("""
@@ -1008,8 +1039,9 @@ where (o_orderstatus = 'F' and situacion = 'DEFINITIVO')
    or (o_orderstatus = 'O' and situacion = 'PRESUNTO')""", "blacklist")
 # An order's answer names two IDs and one amount twice, all within reach of each other.
 _SQL["a5_swapped_amounts"] = with_tables("""
-select s.answer_id, s.rfc, cast(s.monto as double) as monto, a.rfc as dueno
-from said s join amounts a on a.monto = s.monto
+select s.answer_id, s.rfc, cast(s.monto as double) as monto, a.dueno, a.n_duenos
+from said s join (select monto, min(rfc) as dueno, count(*) as n_duenos from amounts
+                  group by monto) a on a.monto = s.monto
 where s.rfc in (select rfc from amounts)
   and not exists (select 1 from amounts o where o.rfc = s.rfc and o.monto = s.monto)""",
     "invoices blacklist", **_BUYERS, amounts="""

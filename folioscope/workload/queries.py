@@ -6,6 +6,8 @@ result can be compared with `oracles.py` value by value.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,10 +18,10 @@ from folioscope.operators import (audits, blacklist, cycles, detectors, evidence
                                   materiality, ranking, report, similarity, sqlgate, thresholds,
                                   views)
 from folioscope.plans import batch
-from folioscope.session import settle
+from folioscope.session import settle, shared_folder
 from folioscope.sources import (archive, canonical, documents, drafts, foreign, official_list,
-                                warehouse)
-from folioscope.workload.books import SETTINGS, Books, customer_id, folio, money, supplier_id
+                                staging, warehouse)
+from folioscope.workload.books import SETTINGS, Books, customer_id, folio, money, supplier_id, taxid
 
 _QUERIES = {}
 
@@ -83,7 +85,7 @@ def _text_tables(b: Books) -> dict[str, DataFrame]:
             F.when(F.col("s_acctbal") > 1000, text_money("s_acctbal"))
             .alias("monto_presunto_total"),
             F.col("s_suppkey").alias("_row")),
-        "Facturas": b.texts("orders").select(
+        "Facturas": b.raw("orders").select(
             folio("O", "o_orderkey").alias("uuid"), customer_id("o_custkey").alias("emisor_rfc"),
             customer_id("o_custkey").alias("receptor_rfc"),
             F.when(status == "F", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
@@ -189,13 +191,69 @@ def _(b):
     return canonical.merged_blacklist(b.blacklist, _typed(b, "Lista_69B"))
 
 
+def _own_folder(b: Books) -> str:
+    """A new folder on the storage that all executors share."""
+    return f"{shared_folder(b.spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+@_registered("s1_read_table")
+def _(b):
+    """A table written as CSV files and read back as text."""
+    folder = f"{_own_folder(b)}/clientes.csv"
+    b.raw("customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment").write.csv(
+        folder, header=True)
+    return staging.read_text_table(b.spark, folder, "csv").drop("_row")
+
+
+@_registered("s1_row_numbers")
+def _(b):
+    """The numbers of the rows are those from 0 on, each once."""
+    folder = f"{_own_folder(b)}/partidas.csv"
+    b.raw("lineitem").select("l_orderkey", "l_linenumber").write.csv(folder, header=True)
+    return staging.read_text_table(b.spark, folder, "csv").agg(
+        F.min("_row").alias("primera"), F.max("_row").alias("ultima"),
+        F.count_distinct("_row").alias("distintas"))
+
+
+@_registered("s8_stored_invoices", stored=True)
+def _(b):
+    """The invoices of the second of two loads, as the warehouse gives them back."""
+    store = warehouse.Warehouse(b.spark, f"{_own_folder(b)}/books")
+    store.replace({"entities": b.entities, "invoices": b.invoices.limit(0)})
+    store.replace({"entities": b.entities, "invoices": b.invoices})
+    return store.table("invoices").select("uuid", "emisor_rfc", "receptor_rfc", "total",
+                                          "metodo_pago", "estado_cfdi")
+
+
+@_registered("s17c_archived_cases", stored=True)
+def _(b):
+    """The confirmed cases of a run that was archived, beside one that was deleted again."""
+    verdicts, resolved = _draft_case(b)
+    lines = report.case_document(verdicts, resolved, "2024-01-01 00:00")
+    kept = archive.Archive(b.spark, f"{_own_folder(b)}/archive")
+    first = kept.save(verdicts, resolved, lines, "plantilla")
+    second = kept.save(verdicts, resolved, lines, "plantilla")
+    kept.delete(first)
+    return kept.open(second)["confirmados"].select(
+        "lead_id", "rfc_imputado", "tipo_esquema", "monto_total_evidencia")
+
+
 @_registered("s7_reference_violations", stored=True)
 def _(b):
-    companies = b.raw("customer").select(customer_id("c_custkey").alias("rfc")).union(
-        b.raw("supplier").where("s_acctbal >= 0").select(supplier_id("s_suppkey")))
+    """Whole tables, some of whose keys are broken."""
+    def broken(when, key):
+        return F.when(F.expr(when), F.lower(key)).otherwise(F.col(key))
+    invoices = b.invoices.withColumns({
+        "uuid": F.when(F.col("estado_cfdi") == "CANCELADO", F.concat(F.lit("x"), "uuid"))
+        .otherwise(F.col("uuid")),
+        "emisor_rfc": broken("total > 50000", "emisor_rfc"),
+        "receptor_rfc": broken("total < 2000", "receptor_rfc")})
+    ledger = b.ledger.withColumns({
+        "cuenta_origen_rfc": broken("monto > 50000", "cuenta_origen_rfc"),
+        "cuenta_destino_rfc": broken("monto < 2000", "cuenta_destino_rfc")})
     return integrity.reference_violations({
-        "entities": companies, "invoices": b.invoices.where("estado_cfdi = 'VIGENTE'"),
-        "invoice_items": b.items, "bank_ledger": b.ledger})
+        "entities": b.entities, "invoices": invoices, "invoice_items": b.items,
+        "bank_ledger": ledger})
 
 
 @_registered("s9_load_counts")
@@ -215,23 +273,25 @@ def _raw_lists(b: Books) -> tuple[DataFrame, DataFrame]:
                  date_position: F.when(F.col(nation) < 22, date).when(
                      F.col(nation) < 24, "pendiente")}
         return b.raw(table).select(*[
-            cells.get(i, F.lit(None)).cast("string").alias(f"_c{i}") for i in range(20)])
+            cells.get(i, F.lit(None)).cast("string").alias(f"_c{i}") for i in range(20)],
+            F.col(key).cast("long").alias("_row"))
+    pair = lambda key: F.floor(F.col(key) / 2).cast("long")  # two rows in a row name one ID
     return (rows("supplier", "s_suppkey", "s_name", "s_acctbal", "s_nationkey",
-                 supplier_id("s_suppkey"), "Definitivo", 15),
+                 taxid("S", pair("s_suppkey"), 3), "Definitivo", 15),
             rows("customer", "c_custkey", "c_name", "c_acctbal", "c_nationkey",
-                 F.when(F.col("c_mktsegment") == "FURNITURE", supplier_id("c_custkey"))
-                 .otherwise(customer_id("c_custkey")), "Presunto", 7))
+                 F.when(F.col("c_mktsegment") == "FURNITURE", taxid("S", pair("c_custkey"), 3))
+                 .otherwise(taxid("C", pair("c_custkey"), 4)), "Presunto", 7))
 
 
 def _parsed_lists(b: Books) -> list[DataFrame]:
-    return [official_list.parse_official_list(raw, in_file, status, position)
+    return [official_list.parse_official_list(raw, in_file, status, position, "_row")
             for raw, (_, in_file, status, position) in zip(_raw_lists(b), fv.OFFICIAL_LISTS)]
 
 
 @_registered("s10_official_list")
 def _(b):
     first, second = _parsed_lists(b)
-    return first.unionByName(second)
+    return first.unionByName(second).drop("_row")
 
 
 @_registered("s11_full_catalog")
@@ -247,7 +307,7 @@ def _(b):
 @_registered("s12a_header_names")
 def _(b):
     name = text.header_name(F.col("text"))
-    return b.texts("documents").select("doc_id", F.md5(name).alias("nombre"),
+    return b.raw("documents").select("doc_id", F.md5(name).alias("nombre"),
                                      F.length(name).alias("largo"))
 
 
@@ -268,7 +328,7 @@ def invoice_texts(b: Books) -> DataFrame:
     seller, buyer = supplier_id("o_orderkey"), customer_id("o_custkey")
     amount = F.format_number(money("o_totalprice"), 2)
     nl = F.lit("\n")
-    return b.texts("orders").select(
+    return b.raw("orders").select(
         F.col("o_orderkey").alias("doc_id"),
         F.concat(
             F.lit("Comprobante\nEmpresa "), F.col("o_orderpriority"), nl,
@@ -444,6 +504,13 @@ def _(b):
         misread_ids(b), similarity.known_universe(b.entities, b.blacklist))
 
 
+@_registered("i6_suggestions")
+def _(b):
+    """All known IDs near a read one that is not known itself."""
+    known = similarity.known_universe(b.entities, b.blacklist)
+    return similarity.suggestions(misread_ids(b), known)
+
+
 @_registered("i6_screening")
 def _(b):
     return similarity.screen_read_ids(
@@ -492,16 +559,16 @@ def _(b):
         [(float(cycle), float(income))], "ciclo double, ingreso double")
 
 
-def _cycles(b: Books, min_amount=None) -> DataFrame:
+def _cycles(b: Books, min_amount=None) -> cycles.CycleSearch:
     if min_amount is None:
         min_amount = thresholds.amount_thresholds(b.ledger, SETTINGS)[0]
-    return cycles.money_cycles(views.money_network(b.ledger), min_amount,
-                               SETTINGS.max_cycle_nodes)
+    return cycles.CycleSearch(views.money_network(b.ledger), min_amount,
+                              SETTINGS.max_cycle_nodes)
 
 
 @_registered("g1_money_cycles", stored=True)
 def _(b):
-    return _cycles(b)
+    return _cycles(b).cycles()
 
 
 @_registered("g2_cycle_of", stored=True)
@@ -522,7 +589,7 @@ def _profiles(b: Books):
 @_registered("m1_folded_text")
 def _(b):
     folded = text.fold(F.col("text"))
-    return b.texts("documents").select("doc_id", F.md5(folded).alias("texto"),
+    return b.raw("documents").select("doc_id", F.md5(folded).alias("texto"),
                                      F.length(folded).alias("largo"))
 
 
@@ -593,8 +660,7 @@ def _(b):
 # --- evidence and verdicts ------------------------------------------------------------------
 
 def _draft_evidence(b: Books) -> DataFrame:
-    resolved = evidence.resolve_evidence(b.evidence, b.invoices, b.ledger)
-    return settle(resolved) if b.stored else resolved
+    return evidence.resolve_evidence(b.evidence, b.invoices, b.ledger)
 
 
 def _draft_proofs(b: Books):
@@ -609,7 +675,7 @@ def _draft_case(b: Books) -> tuple[DataFrame, DataFrame]:
     income = thresholds.amount_thresholds(b.ledger, SETTINGS)[1]
     immaterial = materiality.immaterial_invoices(b.invoices, b.items, b.catalog, b.entities,
                                                  SETTINGS)
-    resolved = _draft_evidence(b)
+    resolved = settle(_draft_evidence(b))      # the verdicts and the caller read it
     marked = evidence.mark_proofs(resolved, b.blacklist, immaterial, income)
     members = cycles.cycle_members(_cycles(b, SETTINGS.proof_min_leg))
     return settle(evidence.verdicts(b.leads, marked, b.entities, members, income)), resolved
@@ -619,12 +685,12 @@ def _draft_verdicts(b: Books) -> DataFrame:
     return _draft_case(b)[0]
 
 
-@_registered("e1_resolved_evidence", stored=True)
+@_registered("e1_resolved_evidence")
 def _(b):
     return _draft_evidence(b)
 
 
-@_registered("e2_evidence_totals", stored=True)
+@_registered("e2_evidence_totals")
 def _(b):
     return evidence.evidence_totals(_draft_evidence(b))
 
@@ -652,16 +718,20 @@ def _(b):
 
 @_registered("e7_proof_income")
 def _(b):
-    """Each unbacked transfer cited against its own receiver."""
+    """The draft evidence, and each transfer cited against its receiver and its sender."""
     income = thresholds.amount_thresholds(b.ledger, SETTINGS)[1]
-    cited = b.ledger.where("cfdi_uuid is null").select(
-        F.col("tx_id").alias("lead_id"), F.col("cuenta_destino_rfc").alias("rfc_imputado"),
-        F.lit(0).cast("long").alias("pos"), F.lit(fv.TRANSFER_KIND).alias("tipo"),
-        F.lit(None).cast("string").alias("uuid"), "tx_id")
+
+    def against(lead_id, accused):
+        return b.ledger.select(
+            lead_id.alias("lead_id"), F.col(accused).alias("rfc_imputado"),
+            F.lit(0).cast("long").alias("pos"), F.lit(fv.TRANSFER_KIND).alias("tipo"),
+            F.lit(None).cast("string").alias("uuid"), "tx_id")
+    cited = (b.evidence.unionByName(against(F.col("tx_id"), "cuenta_destino_rfc"))
+             .unionByName(against(F.concat(F.lit("de:"), "tx_id"), "cuenta_origen_rfc")))
     nothing = b.spark.createDataFrame([], "uuid string, rfc string")
     return evidence.mark_proofs(
         evidence.resolve_evidence(cited, b.invoices, b.ledger), b.blacklist, nothing,
-        income).where("prueba_ingreso").select("lead_id")
+        income).where("prueba_ingreso").select("lead_id").distinct()
 
 
 @_registered("e8a_dossier")
@@ -778,7 +848,7 @@ def _(b):
     return b.leads.select("lead_id", report.legend(F.col("tipo_esquema")).alias("leyenda"))
 
 
-@_registered("r7_evidence_rows", stored=True)
+@_registered("r7_evidence_rows")
 def _(b):
     return report.evidence_rows(_draft_evidence(b))
 
@@ -808,12 +878,12 @@ def answers(b: Books) -> DataFrame:
                   F.lit("El proveedor "), supplier_id("o_orderkey"),
                   F.lit(" esta en situacion DEFINITIVO. ")))
               .otherwise(""))
-    about_orders = b.texts("orders").select(
+    about_orders = b.raw("orders").select(
         F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("answer_id"),
         F.concat(said, listed, F.lit("Folio "), folio("O", "o_orderkey")).alias("text"),
         F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("Que paso con "), rfc, F.lit("?")))
         .alias("question"))
-    about_documents = b.texts("documents").select(
+    about_documents = b.raw("documents").select(
         F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("answer_id"),
         F.concat(F.col("text"), F.lit(" No acuse a "), customer_id("doc_id"), F.lit(", "),
                  F.col("text")).alias("text"),

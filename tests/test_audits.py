@@ -7,7 +7,7 @@ from folioscope import schema
 from folioscope.functions.mentions import taxid_mentions
 from folioscope.operators import audits
 
-CONFIRMED = "KZH161209V32"
+CONFIRMED = "QLM170815T63"
 
 
 def _texts(spark, *texts):
@@ -30,21 +30,21 @@ def test_mentions_carry_their_surroundings(spark):
 
 
 @pytest.mark.parametrize("text", [
-    f"No acuse a {CONFIRMED} porque no hay pruebas.",
-    f"Se descarto a {CONFIRMED} por falta de evidencia.",
-    f"No se imputo a {CONFIRMED} en esta revision.",
-    f"Primero {CONFIRMED} fue acusado. Luego se descarto a {CONFIRMED.lower()}.",
+    f"Dije que no acuse a {CONFIRMED}: faltaban documentos.",
+    f"Al final se descarto a {CONFIRMED}, sus pagos cuadran.",
+    f"En mayo no se imputo a {CONFIRMED} ni a nadie mas.",
+    f"El caso de {CONFIRMED} avanza. Dias despues se descarto a {CONFIRMED.lower()}.",
 ])
 def test_denial_in_the_same_sentence(spark, text):
     assert audits.denied_cases(_texts(spark, text), _cases(spark, CONFIRMED)).count() == 1
 
 
 @pytest.mark.parametrize("text", [
-    f"Acuse a {CONFIRMED} por deducir facturas simuladas.",
-    f"{CONFIRMED} fue confirmado con prueba documental.",
-    f"En esta corrida no hubo leads descartados; el expediente solo imputo a {CONFIRMED}.",
-    f"No hay ciclos kickback. El expediente imputo a {CONFIRMED}.",
-    f"No se encontraron mas casos: {CONFIRMED} quedo confirmado.",
+    f"El caso contra {CONFIRMED} se sostiene con sus facturas.",
+    f"{CONFIRMED} tiene dos transferencias que lo prueban.",
+    f"Sin leads descartados esta vez; queda imputado {CONFIRMED}.",
+    f"No hay mas redes. El caso sigue contra {CONFIRMED}.",
+    f"No aparecieron otros nombres: {CONFIRMED} es el unico caso.",
     "No se imputo" + " x" * 80 + f" a {CONFIRMED}",
     "No se imputo a AAA010101AAA.",
 ])
@@ -61,11 +61,11 @@ def _list(spark):
 
 
 @pytest.mark.parametrize("text,wrong", [
-    ("Aunque DEF010101AAA aparece en el 69-B, su situacion es solo presunta.", True),
-    ("El proveedor DEF010101AAA esta en situacion DEFINITIVO del listado 69-B.", False),
-    ("El proveedor PRE010101AAA tiene situacion DEFINITIVO.", True),
+    ("De DEF010101AAA se sabe que es presunta operacion y nada mas.", True),
+    ("La lista trae a DEF010101AAA como DEFINITIVO desde enero.", False),
+    ("Para la autoridad PRE010101AAA ya es DEFINITIVO.", True),
     ("DEF010101AAA era presunto y ahora es definitivo.", False),
-    ("La empresa AAA010101AAA no aparece en ningun listado.", False),
+    ("De AAA010101AAA no hay rastro en la lista.", False),
     ("DES010101AAA es presunto.", False),
     ("xDEF010101AAAx es presunto", False),
 ])
@@ -75,31 +75,40 @@ def test_list_status(spark, text, wrong):
 
 def _amounts(spark, extra=()):
     rows = [(CONFIRMED, 2245374.00), (CONFIRMED, 1684780.56), (CONFIRMED, 560593.44),
-            ("VRH22081728I", 1315556.03), ("VRH22081728I", 647761.09),
-            ("VRH22081728I", 667794.94), *extra]
+            ("WTB210404K8A", 1315556.03), ("WTB210404K8A", 647761.09),
+            ("WTB210404K8A", 667794.94), *extra]
     return spark.createDataFrame([(r, Decimal(f"{m:.2f}")) for r, m in rows],
                                  "rfc string, monto decimal(24,2)")
 
 
 def test_swapped_amounts_flag_both_ids(spark):
-    text = ("The case with the highest amount is VRH22081728I, with 2,245,374.00 MXN "
-            "per EFOS_69B scheme. 1,315,556.03 MXN por ciclo de kickback circular. "
-            f"El segundo caso más alto es {CONFIRMED}, con")
+    text = ("Primero va WTB210404K8A con 2,245,374.00 MXN en facturas; otros 1,315,556.03 MXN "
+            f"son del caso que le sigue, el de {CONFIRMED}.")
     rows = audits.swapped_amounts(_texts(spark, text), _amounts(spark)).collect()
     assert {(r["rfc"], r["dueno"]) for r in rows} == {
-        ("VRH22081728I", CONFIRMED), (CONFIRMED, "VRH22081728I")}
+        ("WTB210404K8A", CONFIRMED), (CONFIRMED, "WTB210404K8A")}
 
 
 @pytest.mark.parametrize("text,extra", [
-    ("VRH22081728I fue confirmado con $1,315,556.03 MXN por kickback circular.", ()),
-    ("El monto mas alto es el del RFC LSM120111199 con $1,275,488.33 MXN.",
-     (("LSM120111199", 1275488.33),)),
-    ("VRH22081728I movio $99.99 segun la consulta.", ()),
+    ("Sobre WTB210404K8A pesan $1,315,556.03 MXN en transferencias.", ()),
+    ("Nadie supera a NPD090630C47, que suma $1,275,488.33 MXN.",
+     (("NPD090630C47", 1275488.33),)),
+    ("Una consulta dio $99.99 para WTB210404K8A.", ()),
 ])
 def test_right_amounts_are_silent(spark, text, extra):
     assert audits.swapped_amounts(_texts(spark, text), _amounts(spark, extra)).count() == 0
 
 
+def test_an_amount_of_many_cases_is_one_row_per_text(spark):
+    fee = [(f"{chr(65 + i // 26)}{chr(65 + i % 26)}X010101AA{i % 10}", 580.00) for i in range(300)]
+    texts = [f"{CONFIRMED} pago $580.00 de cuota, texto {i}" for i in range(30)]
+    amounts = _amounts(spark, fee)
+    rows = audits.swapped_amounts(_texts(spark, *texts), amounts).collect()
+    assert len(rows) == 30 and {r["n_duenos"] for r in rows} == {len(set(fee))}
+    assert {r["dueno"] for r in rows} == {min(fee)[0]}
+    assert audits.amount_owners(amounts).where("monto = 580").count() == len(set(fee))
+
+
 def test_no_cases(spark):
     none = spark.createDataFrame([], "rfc string, monto decimal(24,2)")
     assert audits.swapped_amounts(_texts(spark, "cualquier texto con $100.00"), none).count() == 0
@@ -113,3 +122,16 @@ def test_invented_identifiers(spark):
     seen = spark.createDataFrame([("1", CONFIRMED)], "answer_id string, id string")
     got = {tuple(r) for r in audits.invented_identifiers(answers, seen).collect()}
     assert got == {("1", folio), ("2", CONFIRMED)}
+
+
+def test_what_a_case_showed_counts_as_seen(spark):
+    answers = spark.createDataFrame([("1", "L", f"{CONFIRMED} y NPD090630C47", None)],
+                                    "answer_id string, lead_id string, text string, question string")
+    shown = spark.createDataFrame([("L", f"RFC {CONFIRMED} - uno")], "lead_id string, texto string")
+    seen = audits.seen_identifiers(answers, shown)
+    assert [r["id"] for r in audits.invented_identifiers(answers, seen).collect()] == ["NPD090630C47"]
+
+
+def test_ids_of_another_shape_are_listed(spark):
+    found = audits.not_audited(_cases(spark, CONFIRMED, "RFC-ROTO-1"))
+    assert [r["rfc_imputado"] for r in found.collect()] == ["RFC-ROTO-1"]

@@ -2,9 +2,11 @@ from decimal import Decimal
 
 import pytest
 
+from folioscope import schema
 from folioscope.operators import cycles, detectors, report, thresholds, views
 from folioscope.plans import batch
 from folioscope.sources.archive import Archive
+from folioscope.sources.warehouse import Warehouse, case_rows
 from pyspark.sql import functions as F
 from tests.scenario import (ADVISOR, DEPOSITED, LISTED, RING, TRUCKS, VICTIM, Scenario)
 
@@ -125,3 +127,58 @@ def test_the_number_of_partitions_does_not_matter(spark):
     split = {k: df.repartition(5) for k, df in t.items()}
     key = lambda f: sorted(tuple(r) for r in f.verdicts.collect())
     assert key(batch.investigate(**t)) == key(batch.investigate(**split))
+
+
+def test_a_batch_over_texts_alone(spark, tmp_path):
+    def paper(folio, issuer, receiver, total, concept):
+        filler = "Documento de prueba sin valor fiscal. " * 6
+        return (f"Folio fiscal: {folio}\nDespacho Uno\nRFC emisor: {issuer}\n"
+                f"RFC receptor: {receiver}\nFecha: 2024-03-05T10:00:00\nTotal: {total}\n"
+                f"Descripción: {concept}\n{filler}")
+    rows = [(1, paper("0a92940f-03bd-4202-a6cc-54bf9ce20701", "QLM170815T63", "WTB210404K8A",
+                      "1,160.50", "Asesoria general")),
+            (2, paper("0a92940f-03bd-4202-a6cc-54bf9ce20702", "WTB210404K8A", "NPD090630C47",
+                      "99.00", "Asesoria general")), (3, "corto"), (4, None)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    out = batch.run(spark, None, str(tmp_path / "out"), texts=texts)
+    counts = {r["tabla"]: r["n"] for r in out["counts"].collect()}
+    assert counts["invoices"] == 2 and counts["entities"] == 4 and "bank_ledger" not in counts
+    notes = {(r["nota"], r["origen"]) for r in out["translation"].collect()}
+    assert {("SIN_TEXTO", "3"), ("SIN_TEXTO", "4"), ("AUDITADA", "1")} <= notes
+    assert out["findings"].verdicts.count() == out["findings"].candidates.count()
+    assert out["cases"].count() == out["findings"].verdicts.count()
+
+
+def test_loads_that_run_at_once_claim_different_numbers(spark, tmp_path):
+    first, second = (Warehouse(spark, str(tmp_path)) for _ in range(2))
+    assert first._claimed() != second._claimed()
+
+
+def test_a_total_of_a_trillion_is_stored(spark, tmp_path):
+    verdict = spark.createDataFrame(
+        [("A", "EFOS_69B", Decimal("1500000000000.00"), "CONFIRMADO_CON_PRUEBA", True, "x", "", "y")],
+        "rfc_imputado string, tipo_esquema string, monto_total_evidencia decimal(24,2), "
+        "estatus_dictamen string, confirmado boolean, narrativa string, razon string, "
+        "regla_fiscal string")
+    rows, _ = case_rows(verdict, spark.createDataFrame([("A",)], "rfc string"))
+    store = Warehouse(spark, str(tmp_path))
+    store.commit(store.stage({}))
+    store.write_cases(rows)
+    assert store.table("cases").first()["monto_total_evidencia"] == Decimal("1500000000000.00")
+
+
+def test_drafts_of_others_are_judged(spark):
+    t = Scenario().tables(spark)
+    cited = t["invoices"].where(F.col("receptor_rfc") == VICTIM).where(
+        F.col("emisor_rfc") == LISTED).select("uuid").first()["uuid"]
+    body = ('{"rfc_imputado": "%s", "tipo_esquema": "EFOS_69B", "evidencia": [{"tipo": "factura", '
+            '"uuid": "%s"}]}')
+    texts = spark.createDataFrame(
+        [("1", VICTIM, body % (VICTIM, cited)), ("2", VICTIM, body % (VICTIM, "inventado")),
+         ("3", VICTIM, "sin objeto")], "lead_id string, rfc string, text string")
+    seen = t["invoices"].select(F.col("uuid").alias("id"))
+    catalog = spark.createDataFrame([], schema.SECTOR_CATALOG)
+    verdicts, _ = batch.judge_drafts(texts, seen, t["entities"], t["blacklist"], t["invoices"],
+                                     t["items"], t["ledger"], catalog)
+    assert {r["lead_id"]: r["regla_fallida"] for r in verdicts.collect()} == {
+        "1": "", "2": "SIN_EVIDENCIA", "3": "SIN_EVIDENCIA"}

@@ -125,3 +125,15 @@ def test_priority_of_schemes(spark):
     assert {(r["lead_id"], r["uuid"], r["tx_id"]) for r in cited.collect()} == {
         (A, None, "t1"), (B, "f2", None)}
     assert Settings().max_leg_ratio == 1.3
+
+
+def test_an_item_is_named_by_the_identifier_it_is_looked_up_by(spark, books):
+    cited = [("L", A, 0, "transferencia", "f1", "t2"), ("L", A, 1, "factura", "f2", "t1"),
+             ("L", A, 2, None, "f1", "t1"), ("L", A, 3, "transferencia", "f9", None),
+             ("L", A, 4, "factura", None, "t1")]
+    rows = evidence.resolve_evidence(spark.createDataFrame(cited, EVIDENCE), books["invoices"],
+                                     books["ledger"]).collect()
+    got = {r["pos"]: (r["tipo"], r["id"], r["existe"]) for r in rows}
+    assert got == {0: ("transferencia", "t2", True), 1: ("factura", "f2", True),
+                   2: ("factura", "f1", True), 3: ("transferencia", "f9", False),
+                   4: ("factura", "t1", False)}

@@ -179,6 +179,29 @@ def test_drafts(spark):
     assert drafts.read_sector_catalog(spark, None).count() == 0
 
 
+def test_sector_catalog_is_one_map(spark, tmp_path):
+    path = tmp_path / "giros.json"
+    path.write_text('{"AAA010101AAA": {"razon_social": "Uno", "giro": "obra", "claves_esperadas":'
+                    ' ["01"],\n "descripciones_esperadas": ["muros"]}, "BBB010101BBB": {}}')
+    got = {r["rfc"]: r for r in drafts.read_sector_catalog(spark, str(path)).collect()}
+    assert got["AAA010101AAA"]["descripciones_esperadas"] == ["muros"]
+    assert got["BBB010101BBB"]["giro"] is None and len(got) == 2
+
+
+def test_the_later_row_of_a_list_wins(spark, tmp_path):
+    path = tmp_path / "lista.csv"
+    row = "1,AAA010101AAA,{},Definitivo" + "," * 12 + "{}"
+    path.write_bytes("\n".join([row.format("Nueva", "05/03/2024"),
+                                row.format("Vieja", "01/02/2020")]).encode("latin-1"))
+    raw = official_list.read_raw_list(spark, str(path))
+    found = official_list.parse_official_list(raw, "Definitivo", "DEFINITIVO", 15, "_row")
+    merged = official_list.merge_lists([found])
+    assert merged.first()["razon_social"] == "Vieja"
+    official_list.write_lists(merged, str(tmp_path / "out"))
+    assert spark.read.csv(str(tmp_path / "out/catalogo"), header=True).count() == 1
+    assert spark.read.csv(str(tmp_path / "out/recientes"), header=True).count() == 0
+
+
 @pytest.mark.parametrize("sql", [
     "DELETE FROM invoices", "SELECT 1; DROP TABLE invoices", "UPDATE entities SET rfc = 'x'",
     "WITH a AS (SELECT 1) SELECT * FROM a", "SELECT 1 FROM a WHERE x = 'drop'", ""])
