@@ -9,16 +9,19 @@ sequence of thousands.
 
 The ids are those of the public byte-level vocabulary; tiktoken's encoder reads the same
 vocabulary as ranks and gives the same ids several times faster than the tokenizers
-library (a test holds them against each other). A null text is empty and is one token,
-the end mark. Repeated rows and null IDs are packed like others.
+library (a test holds them against each other). Its search fails on about a million blanks
+before a word, so a text with a long run of blanks goes through the tokenizers library. A
+null text is empty and is one token, the end mark. Repeated rows and null IDs are packed like others.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -29,7 +32,10 @@ from pyspark.sql import functions as F
 from folioscope.llm.shared import bucket_count, keyed, prepare, str_texts, table
 
 END = 2
+BLANKS = 100_000      # a run from which a text is left to the tokenizers library
+_LONG_RUN = re.compile(rf"(?<!\s)\s{{{BLANKS}}}")
 _ENCODERS: dict = {}
+_LIBRARY: dict = {}
 
 
 def encoder(vocabulary: str | None = None):
@@ -45,6 +51,28 @@ def encoder(vocabulary: str | None = None):
     return _ENCODERS[vocabulary]
 
 
+def library(vocabulary: str | None = None):
+    """The tokenizers library's reading of the JSON file beside a ranks file."""
+    if vocabulary not in _LIBRARY:
+        import public_tokenizers
+        from tokenizers import Tokenizer
+        path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
+        _LIBRARY[vocabulary] = Tokenizer.from_file(str(Path(path).with_suffix(".json")))
+        _LIBRARY[vocabulary].encode_special_tokens = True
+    return _LIBRARY[vocabulary]
+
+
+def token_ids(vocabulary: str | None = None) -> Callable[[str], list[int]]:
+    """What gives the ids of a text."""
+    ordinary = encoder(vocabulary).encode_ordinary
+
+    def encode(text: str) -> list[int]:
+        if len(text) >= BLANKS and _LONG_RUN.search(text):
+            return library(vocabulary).encode(text, add_special_tokens=False).ids
+        return ordinary(text)
+    return encode
+
+
 def cuts(n: int, capacity: int) -> list[int]:
     """Lengths of the pieces of a document of n tokens; only the first may be short."""
     full, rest = divmod(n, capacity)
@@ -107,7 +135,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def tokenised(docs: DataFrame, capacity: int, groups: int, vocabulary: str | None) -> DataFrame:
     """doc_id, group, number of tokens and the checksums of the pieces of every row."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_ordinary
+        encode = token_ids(vocabulary)
         for batch in batches:
             sizes, sums, known = [], [], {}
             for text in str_texts(batch):

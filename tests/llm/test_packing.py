@@ -33,6 +33,17 @@ def test_same_ids(text):
     assert mine == test_same_ids.known.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\u3000", " \t"])
+def test_a_very_long_run_of_blanks(spark, tokenizer, blank):
+    text = "a b" + blank * (1_200_000 // len(blank)) + "x y"
+    ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+    docs = corpus.documents(spark, [(1, text), (2, "c")])
+    got = {r.doc_id: r.n for r in op6.pack(docs).groupBy("doc_id").agg(
+        op6.F.sum("length").alias("n")).collect()}
+    assert got == {1: len(ids), 2: 2}
+    assert op6.token_ids()(text) == ids[:-1]
+
+
 @pytest.mark.parametrize("capacity, group_rows", [(1024, 16384), (64, 20)])
 def test_pieces(spark, tokenizer, capacity, group_rows):
     docs = corpus.documents(spark)
