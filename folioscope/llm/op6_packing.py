@@ -7,9 +7,10 @@ decreasing: a segment tree over remaining capacities finds the tightest open seq
 in a number of steps that depends on the capacity alone. A group wastes about one
 sequence of thousands.
 
-The ids are those of the public byte-level vocabulary; tiktoken's encoder reads the same
-vocabulary as ranks and gives the same ids several times faster than the tokenizers
-library (a test holds them against each other). Its search fails on about a million blanks
+The ids are those of the public byte-level vocabulary, its added tokens such as
+<|endoftext|> included, as the tokenizers library gives them; tiktoken's encoder reads the
+same vocabulary as ranks and gives the same ids several times faster (a test holds them
+against each other). Its search fails on about a million blanks
 before a word, so a text with a long run of blanks goes through the tokenizers library. A
 null text is empty and is one token, the end mark. Repeated rows and null IDs are packed like others.
 """
@@ -17,6 +18,7 @@ null text is empty and is one token, the end mark. Repeated rows and null IDs ar
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -39,15 +41,18 @@ _LIBRARY: dict = {}
 
 
 def encoder(vocabulary: str | None = None):
-    """The encoder of a ranks file, made once per process."""
+    """The encoder of a ranks file and the added tokens in the JSON file beside it, made once
+    per process."""
     if vocabulary not in _ENCODERS:
         import public_tokenizers
         import tiktoken
         path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
+        with open(Path(path).with_suffix(".json"), encoding="utf-8") as file:
+            added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
         _ENCODERS[vocabulary] = tiktoken.Encoding(
-            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
     return _ENCODERS[vocabulary]
 
 
@@ -58,18 +63,17 @@ def library(vocabulary: str | None = None):
         from tokenizers import Tokenizer
         path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
         _LIBRARY[vocabulary] = Tokenizer.from_file(str(Path(path).with_suffix(".json")))
-        _LIBRARY[vocabulary].encode_special_tokens = True
     return _LIBRARY[vocabulary]
 
 
 def token_ids(vocabulary: str | None = None) -> Callable[[str], list[int]]:
     """What gives the ids of a text."""
-    ordinary = encoder(vocabulary).encode_ordinary
+    mine = encoder(vocabulary)
 
     def encode(text: str) -> list[int]:
         if len(text) >= BLANKS and _LONG_RUN.search(text):
             return library(vocabulary).encode(text, add_special_tokens=False).ids
-        return ordinary(text)
+        return mine.encode(text, allowed_special="all")
     return encode
 
 

@@ -33,6 +33,27 @@ def test_same_ids(text):
     assert mine == test_same_ids.known.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "\n", "a", "é", "'s"]),
+                max_size=12).map("".join))
+def test_added_tokens(text):
+    assert op6.token_ids()(text) == op6.library().encode(text, add_special_tokens=False).ids
+
+
+def test_end_of_text_is_one_token(spark):
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x" + " " * 1_200_000 + "y<|endoftext|>"]
+    assert op6.token_ids()(texts[0]) == [64, 220, 50256, 275]
+    want = []
+    for k, text in enumerate(texts):
+        ids = [*plain.encode(text, add_special_tokens=False).ids, 2]
+        first = len(ids) % 1024 or 1024
+        want.append((k, first, zlib.crc32(np.array(ids[:first], "<u4").tobytes())))
+    packed = op6.pack(corpus.documents(spark, list(enumerate(texts)))).filter("piece = 0")
+    assert corpus.bag(packed, "doc_id", "length", "ids_crc32") == want
+
+
 @pytest.mark.parametrize("blank", [" ", "\n", "\u3000", " \t"])
 def test_a_very_long_run_of_blanks(spark, tokenizer, blank):
     text = "a b" + blank * (1_200_000 // len(blank)) + "x y"
