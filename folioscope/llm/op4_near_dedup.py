@@ -154,8 +154,12 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The document with the smallest ID of each group, with all its columns."""
+    return one_of_each(docs, near_groups(docs, radius))
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The same for given groups: (doc_id, text_key, root) of every row."""
     columns = docs.columns
-    groups = near_groups(docs, radius)
     chosen = groups.groupBy("root").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("kept"))
     chosen = settle(chosen.select(F.col("kept.doc_id").alias("__id"),
