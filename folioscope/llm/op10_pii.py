@@ -13,9 +13,9 @@ text between them. The patterns are written so that a match never tries the same
 twice (possessive quantifiers, and starts only where a run can start); the comments say
 why that changes no match.
 
-Null and empty texts have no spans. Rows equal in ID and text count once in n(t,e), so
-they support no term, and get the same spans. A null ID is kept. Other columns are not read, and kept by
-`sanitise`.
+Null and empty texts have no spans. Rows equal in ID and text count once in all four
+numbers, so they support no term, and get the same spans. A null ID is kept. Other columns
+are not read, and kept by `sanitise`.
 """
 
 from __future__ import annotations
@@ -160,8 +160,9 @@ def terms_near(found: DataFrame) -> DataFrame:
 def disclosing(docs: DataFrame, found: DataFrame, near: DataFrame, support: int,
                disclosure: float) -> DataFrame:
     """(entity, term, share): the terms that give away an entity, and how much of it."""
-    rows = found.count()
-    held = found.select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"])))
+    keys = settle(found.groupBy("doc_id", "text_key").agg(F.count("*").alias("times")))
+    rows = keys.count()
+    held = found.dropDuplicates(["doc_id", "text_key"]).select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"])))
                         .alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     together = (near.select("doc_id", "text_key", "entity", "term").distinct()
                 .groupBy("entity", "term").agg(F.count("*").alias("n_te"))
@@ -169,8 +170,13 @@ def disclosing(docs: DataFrame, found: DataFrame, near: DataFrame, support: int,
     words = F.array_distinct(F.transform(
         F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0)),
         lambda w: F.xxhash64(w)))
-    in_docs = (keyed(docs).select(F.explode(words).alias("term"))
-               .groupBy("term").agg(F.count("*").alias("n_t")))
+    # Texts are not shuffled to make rows distinct: each of m equal rows counts 1 / m.
+    again = settle(keys.filter("times > 1").select(
+        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "times"))
+    in_docs = (keyed(docs).join(again, F.col("doc_id").eqNullSafe(F.col("__id"))
+                                & (F.col("text_key") == F.col("__key")), "left")
+               .select(F.explode(words).alias("term"), F.coalesce("times", F.lit(1)).alias("times"))
+               .groupBy("term").agg(F.round(F.sum(1 / F.col("times"))).alias("n_t")))
     share = (F.log2(F.col("n_te") * F.lit(float(rows)) / F.col("n_t") / F.col("n_e"))
              / F.log2(F.lit(float(rows)) / F.col("n_e")))
     return (together.join(held, "entity").filter(F.col("n_e") < rows)

@@ -96,6 +96,20 @@ def test_disclosing_terms(spark):
     assert got == {(i, w) for i in range(0, 60, 6) for w in ("zorblax", "write")}
 
 
+def test_repeated_rows_count_once(spark):
+    rows = leaky()
+    want = corpus.bag(op10.detect(corpus.documents(spark, rows)).filter("size(terms) > 0")
+                      .selectExpr("doc_id", "transform(terms, t -> round(t.share, 9)) terms"),
+                      "doc_id", "terms")
+    assert want
+    for again in (0, 7):                 # a holder of the entity, and any other document
+        docs = corpus.documents(spark, rows + 100 * [rows[again]])
+        found = op10.detect(docs)
+        assert found.count() == len(rows) + 100
+        assert corpus.bag(found.filter("size(terms) > 0").distinct().selectExpr(
+            "doc_id", "transform(terms, t -> round(t.share, 9)) terms"), "doc_id", "terms") == want
+
+
 def test_sanitise(spark):
     rows = leaky() + [(100, None), (101, ""), (None, "a@b.co"), (0, leaky()[0][1])]
     docs = corpus.documents(spark, rows)
