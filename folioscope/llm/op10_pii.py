@@ -1,11 +1,10 @@
 """PII: fixed patterns, and terms that give away what the patterns protect.
 
-What the patterns find are protected entities. Words near one may reveal it as well as
+What the patterns find are protected entities. Words beside one may reveal it as well as
 its own text does, so the corpus is asked how strongly: with N documents, n(e) that hold
-entity e, n(t) that hold term t and n(t,e) that have t near e, the information that t
-gives about e is log2(n(t,e) N / (n(t) n(e))), at most log2(N / n(e)), the information of
-e itself. A term that gives `disclosure` of it or more, seen near e in `support`
-documents or more, is a span of kind `term`. `sanitise` puts the kind's name for an
+entity e, n(t) that hold term t and n(t,e) that hold both, the information that t gives about e is log2(n(t,e) N / (n(t) n(e))), at most log2(N / n(e)), the information of
+e itself. A term that gives `disclosure` of it or more, and is with e in `support` documents
+or more, is a span of kind `term` wherever it stands in a document that holds e. `sanitise` puts the kind's name for an
 entity, `[term]` for a term, and nothing for one that gives `removal` or more.
 
 All of it is DataFrame functions. Positions follow from the lengths of matches and of the
@@ -39,18 +38,17 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-NEAR = 48                              # characters on each side of an entity
-_MATCH = "struct<start:int,end:int,match:string,before:string,after:string>"
+_MATCH = "struct<start:int,end:int,match:string>"
 _BLOCK = 64                            # matches whose places are summed up in one array
-# A word that touches what addresses are made of may be a part of one, and one at the edge
-# of what is looked at may be cut, so neither is a term.
-_WORD = (r"(?<=[^\p{L}0-9._%+@-])\p{L}{4,}+(?=[^\p{L}0-9_%+@-])(?!\.[\p{L}0-9])")
+# A run of letters and digits with a letter in it. One that touches what addresses are made
+# of may be a part of one, so it is no term.
+_TERM = r"(?<![\p{L}0-9])(?=[0-9]*+\p{L})[\p{L}0-9]{4,}+"
+_WORD = rf"(?<![._%+@-]){_TERM}(?![\p{{L}}0-9_%+@-])(?!\.[\p{{L}}0-9])"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 
 def located(text: Column, pattern: str) -> Column:
-    """Matches in a text, with their places in code points and the text on both sides, as far
-    as the next match but at most `NEAR` characters."""
+    """Matches in a text, with their places in code points."""
     # An array of one struct, so that the matches are searched for once and then read.
     parts = F.array(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"),
                              F.split(text, pattern, -1).alias("between")))
@@ -65,9 +63,7 @@ def _placed(part: Column) -> Column:
         start = state["at"] + F.length(F.get(between, i))
         end = start + F.length(F.get(found, i))
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(
-            start.alias("start"), end.alias("end"), F.get(found, i).alias("match"),
-            F.right(F.get(between, i), F.lit(NEAR)).alias("before"),
-            F.left(F.get(between, i + 1), F.lit(NEAR)).alias("after")))).alias("out"))
+            start.alias("start"), end.alias("end"), F.get(found, i).alias("match")))).alias("out"))
 
     def block(state: Column, first: Column) -> Column:
         # Every step copies its state, so that of a block holds the block alone.
@@ -105,8 +101,7 @@ def holds(kind: str, match: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """All spans of the fixed patterns: array<struct<start, kind, end, match, before, after>>, in
-    order."""
+    """All spans of the fixed patterns: array<struct<start, kind, end, match>>, in order."""
     parts = []
     for k, (kind, pattern) in enumerate(PATTERNS.items()):
         found = located(text, pattern)
@@ -119,14 +114,7 @@ def base_spans(text: Column) -> Column:
 
 def _of_kind(found: Column, number: int, kind: str) -> Column:
     return F.transform(F.filter(found, lambda m: holds(kind, m["match"])), lambda m: F.struct(
-        m["start"], F.lit(number).alias("kind"), m["end"], m["match"], m["before"], m["after"]))
-
-
-def _at(words: Column, offset: Column) -> Column:
-    """Words of a piece of a text as terms at their places in the text."""
-    return F.transform(words, lambda w: F.struct(
-        F.xxhash64(F.lower(w["match"])).alias("term"), (offset + w["start"]).alias("start"),
-        (offset + w["end"]).alias("end")))
+        m["start"], F.lit(number).alias("kind"), m["end"], m["match"]))
 
 
 def _count(spans: str, number: int) -> Column:
@@ -140,65 +128,77 @@ def listed(spans: Column) -> Column:
 
 
 def protected(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, spans) of every row; a span also has the text on both sides."""
+    """(doc_id, text_key, spans) of every row; a span also has its entity."""
     return keyed(docs).select("doc_id", "text_key", F.transform(
         base_spans(F.col("text")), lambda s: F.struct(
             s["start"], s["kind"], s["end"], F.xxhash64(s["kind"], F.lower(s["match"]))
-            .alias("entity"), s["before"], s["after"])).alias("spans"))
-
-
-def terms_near(found: DataFrame) -> DataFrame:
-    """(doc_id, text_key, entity, term, start, end): the words on both sides of each entity."""
-    one = found.select("doc_id", "text_key", F.explode("spans").alias("s"))
-    start = F.col("s.start") - F.length("s.before")
-    words = F.concat(_at(located(F.col("s.before"), _WORD), start),
-                     _at(located(F.col("s.after"), _WORD), F.col("s.end")))
-    return one.select("doc_id", "text_key", F.col("s.entity").alias("entity"),
-                      F.explode(words).alias("w")).select("doc_id", "text_key", "entity", "w.*")
-
-
-def disclosing(docs: DataFrame, found: DataFrame, near: DataFrame, support: int,
-               disclosure: float) -> DataFrame:
-    """(entity, term, share): the terms that give away an entity, and how much of it."""
-    keys = settle(found.groupBy("doc_id", "text_key").agg(F.count("*").alias("times")))
-    rows = keys.count()
-    held = found.dropDuplicates(["doc_id", "text_key"]).select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"])))
-                        .alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    together = (near.select("doc_id", "text_key", "entity", "term").distinct()
-                .groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-                .filter(F.col("n_te") >= support))
-    words = F.array_distinct(F.transform(
-        F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0)),
-        lambda w: F.xxhash64(w)))
+            .alias("entity"))).alias("spans"))
+
+
+def _same_row() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))
+
+
+def _hashed(words: Column) -> Column:
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+
+
+def disclosing(docs: DataFrame, found: DataFrame, support: int,
+               disclosure: float) -> tuple[DataFrame, DataFrame]:
+    """(entity, term, share): the terms that give away an entity, and how much of it; and
+    (__id, __key, entities, times): the distinct rows that hold entities with such numbers."""
+    one = settle(found.groupBy("doc_id", "text_key").agg(
+        F.count("*").alias("times"),
+        F.array_distinct(F.transform(F.first("spans"), lambda s: s["entity"])).alias("entities")))
+    rows = one.count()
+    held = settle(one.select(F.explode("entities").alias("entity")).groupBy("entity")
+                  .agg(F.count("*").alias("n_e"))
+                  .filter((F.col("n_e") >= support) & (F.col("n_e") < rows)))
+    # An entity of fewer documents than `support` has no terms, so most entities end here.
+    holders = settle(one.select("doc_id", "text_key", "times", F.explode("entities").alias("entity"))
+                     .join(held.select("entity"), "entity")
+                     .groupBy("doc_id", "text_key", "times")
+                     .agg(F.collect_list("entity").alias("entities"))
+                     .withColumnsRenamed({"doc_id": "__id", "text_key": "__key"}))
     # Texts are not shuffled to make rows distinct: each of m equal rows counts 1 / m.
-    again = settle(keys.filter("times > 1").select(
+    again = settle(one.filter("times > 1").select(
         F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "times"))
-    in_docs = (keyed(docs).join(again, F.col("doc_id").eqNullSafe(F.col("__id"))
-                                & (F.col("text_key") == F.col("__key")), "left")
+    once = F.round(F.sum(1 / F.col("times")))
+    words = _hashed(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))
+    in_docs = (keyed(docs).join(again, _same_row(), "left")
                .select(F.explode(words).alias("term"), F.coalesce("times", F.lit(1)).alias("times"))
-               .groupBy("term").agg(F.round(F.sum(1 / F.col("times"))).alias("n_t")))
+               .groupBy("term").agg(once.alias("n_t")))
+    terms = _hashed(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
+    together = (keyed(docs).join(holders, _same_row())
+                .select("entities", "times", F.explode(terms).alias("term"))
+                .select(F.explode("entities").alias("entity"), "term", "times")
+                .groupBy("entity", "term").agg(once.alias("n_te"))
+                .filter(F.col("n_te") >= support))
     share = (F.log2(F.col("n_te") * F.lit(float(rows)) / F.col("n_t") / F.col("n_e"))
              / F.log2(F.lit(float(rows)) / F.col("n_e")))
-    return (together.join(held, "entity").filter(F.col("n_e") < rows)
-            .join(in_docs, "term").select("entity", "term", share.alias("share"))
-            .filter(F.col("share") >= disclosure))
+    told = (together.join(held, "entity").join(in_docs, "term")
+            .select("entity", "term", share.alias("share")).filter(F.col("share") >= disclosure))
+    return settle(told), holders
 
 
 def detect(docs: DataFrame, support: int = 2, disclosure: float = 0.8) -> DataFrame:
     """(doc_id, text_key, spans, terms) of every row; a term also has its share."""
     prepare(docs.sparkSession)
     found = settle(protected(docs))
-    near = settle(terms_near(found))
-    told = disclosing(docs, found, near, support, disclosure)
-    terms = (near.join(told, ["entity", "term"]).groupBy("doc_id", "text_key", "start", "end")
-             .agg(F.max("share").alias("share")).groupBy("doc_id", "text_key").agg(
-                 F.collect_list(F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end",
-                                         "share")).alias("terms"))
-             .withColumnsRenamed({"doc_id": "__id", "text_key": "__key"}))
+    told, holders = disclosing(docs, found, support, disclosure)
+    marked = (holders.select("__id", "__key", F.explode("entities").alias("entity"))
+              .join(told, "entity").groupBy("__id", "__key", "term").agg(F.max("share").alias("share"))
+              .groupBy("__id", "__key").agg(F.map_from_entries(
+                  F.collect_list(F.struct("term", "share"))).alias("told")))
+    places = F.transform(located(F.col("text"), _WORD), lambda w: F.struct(
+        w["start"], F.lit(len(KINDS) - 1).alias("kind"), w["end"],
+        F.try_element_at(F.col("told"), F.xxhash64(F.lower(w["match"]))).alias("share")))
+    terms = (keyed(docs).join(settle(marked), _same_row())
+             .select("__id", "__key", F.filter(places, lambda w: w["share"].isNotNull())
+                     .alias("terms")).dropDuplicates(["__id", "__key"]))
     plain = found.withColumn("spans", F.transform("spans", lambda s: F.struct(
         s["start"], s["kind"], s["end"])))
-    return plain.join(terms, F.col("doc_id").eqNullSafe(F.col("__id"))
-                      & (F.col("text_key") == F.col("__key")), "left").select(
+    return plain.join(terms, _same_row(), "left").select(
         "doc_id", "text_key", "spans", F.coalesce(
             "terms", F.array().cast("array<struct<start:int,kind:int,end:int,share:double>>"))
         .alias("terms"))

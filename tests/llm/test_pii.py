@@ -96,6 +96,27 @@ def test_disclosing_terms(spark):
     assert got == {(i, w) for i in range(0, 60, 6) for w in ("zorblax", "write")}
 
 
+def test_terms_of_whole_documents(spark):
+    """A term far from the entity, at both ends of a text, with digits, and everywhere."""
+    rng, rows = random.Random(9), []
+    for i in range(60):
+        text = corpus.prose(rng, 60)
+        if i % 6 == 0:
+            text = f"Zorblax {text} jane@corp.example {text} blaxzor7 {text} zorblax"
+        rows.append((i, text))
+    rows += [(100, "Quorvex: a@b.co"), (101, "a@b.co quorvex"), (102, "quorvexes a@b.co")]
+    docs = corpus.documents(spark, rows)
+    texts, got = dict(rows), defaultdict(list)
+    for r in op10.detect(docs).collect():
+        for s in r.terms:
+            got[r.doc_id].append(texts[r.doc_id][s.start:s.end])
+    for i in range(0, 60, 6):
+        assert sorted(got[i])[:2] == ["Zorblax", "blaxzor7"] and "zorblax" in got[i]
+    assert [got[i] for i in (100, 101, 102)] == [["Quorvex"], ["quorvex"], []]
+    for r in op10.sanitise(docs).collect():
+        assert "zorblax" not in r.text.lower() and "blaxzor7" not in r.text
+
+
 def test_repeated_rows_count_once(spark):
     rows = leaky()
     want = corpus.bag(op10.detect(corpus.documents(spark, rows)).filter("size(terms) > 0")
