@@ -34,16 +34,23 @@ def main() -> None:
              .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "16g"))
              .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    known, times = queries(), {}
+    known, times, errors = queries(), {}, {}
     for name in sys.argv[1:] or HEADLINE:
         start = time.time()
-        known[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        try:
+            known[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        except Exception as error:  # one broken query must not hide the others' times
+            errors[name] = f"{type(error).__name__}: {str(error)[:300]}"
+            print(f"{name} {errors[name]}", file=sys.stderr, flush=True)
+            continue
         times[name] = round(time.time() - start, 3)
         print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "total wall time of the headline queries", "unit": "sec",
         "value": round(sum(times.values()), 3), "queries": times,
-        "sf": sf_dir.rsplit("/", 1)[-1].removeprefix("sf")}))
+        "sf": sf_dir.rsplit("/", 1)[-1].removeprefix("sf"), "errors": errors}))
+    if errors:
+        sys.exit(1)
 
 
 if __name__ == "__main__":

@@ -134,14 +134,14 @@ union all
 select c.lead_id, c.rfc_imputado, c.pos, c.tipo, c.id, null, c.tx_id, l.monto,
        l.tx_id is not null, l.cuenta_origen_rfc, l.cuenta_destino_rfc, l.cfdi_uuid
 from cited c left join ledger l on l.tx_id = c.tx_id where c.tipo = 'transferencia'""",
+        "paid": """
+select distinct lead_id, uuid from looked_up where tipo = 'factura' and existe""",
         "resolved": """
 select r.*, existe and coalesce(rfc_imputado = de_rfc or rfc_imputado = a_rfc, false)
             as relevante,
        existe and coalesce(rfc_imputado = de_rfc or rfc_imputado = a_rfc, false)
-       and not exists (select 1 from looked_up f where f.lead_id = r.lead_id
-                       and f.tipo = 'factura' and f.existe and f.uuid = r.cfdi_uuid)
-            as contado_en_total
-from looked_up r""",
+       and p.uuid is null as contado_en_total
+from looked_up r left join paid p on p.lead_id = r.lead_id and p.uuid = r.cfdi_uuid""",
     }
 
 
@@ -829,7 +829,9 @@ select rfc_imputado, razon_social, tipo_esquema,
        regla_fallida from verdicts""")
 
 _SEEN = {"seen": "select uuid as id from invoices union select tx_id from ledger",
-         "named": f"""select *, {_ID} as id, {_ID} in (select id from seen) as visto
+         "named": """
+select *, case when uuid <> '' then uuid else tx_id end as id,
+       case when uuid <> '' then uuid else tx_id end in (select id from seen) as visto
 from evidence"""}
 _SQL["e10_unseen_dropped_leads"] = with_tables("""
 select l.lead_id, rfc_imputado, case when e.lead_id is not null then 'SIN_MATERIALIDAD'

@@ -21,7 +21,8 @@ from folioscope.plans import batch
 from folioscope.session import settle, shared_folder
 from folioscope.sources import (archive, canonical, documents, drafts, foreign, official_list,
                                 staging, warehouse)
-from folioscope.workload.books import SETTINGS, Books, customer_id, folio, money, supplier_id, taxid
+from folioscope.workload.books import SETTINGS, Books, customer_id, folio, money, supplier_id
+from folioscope.workload.books import taxid as hashed_taxid
 
 _QUERIES = {}
 
@@ -64,7 +65,7 @@ def _text_tables(b: Books) -> dict[str, DataFrame]:
     text_money = lambda c: money(c).cast("string")
     order_id = F.col("o_orderkey").cast("string")
     return {
-        "Entidades": b.texts("customer").select(
+        "Entidades": b.raw("customer").select(
             F.concat(F.lit("  "), customer_id("c_custkey"), F.lit(" ")).alias("rfc"),
             F.when(F.col("c_acctbal") >= -900, F.col("c_name")).alias("razon_social"),
             F.when(F.col("c_mktsegment") == "BUILDING", "12/05/2011")
@@ -77,7 +78,7 @@ def _text_tables(b: Books) -> dict[str, DataFrame]:
             .when(F.col("c_nationkey") < 15, "2.5").when(F.col("c_nationkey") < 20, "no")
             .alias("es_empresa_auditada"),
             F.col("c_custkey").alias("_row")),
-        "Lista_69B": b.texts("supplier").select(
+        "Lista_69B": b.raw("supplier").select(
             supplier_id("s_suppkey").alias("rfc"),
             F.when(F.col("s_acctbal") < 0, " definitivo").when(F.col("s_acctbal") < 5000, "Presunto")
             .when(F.col("s_acctbal") < 9000, "DESVIRTUADO").otherwise("otro").alias("situacion"),
@@ -101,7 +102,7 @@ def _text_tables(b: Books) -> dict[str, DataFrame]:
             F.when(F.col("o_totalprice") > 12000, "03").alias("forma_pago"),
             F.when(status == "F", "vigente").when(status == "O", "cancelado ")
             .alias("estado_cfdi"), F.col("o_orderkey").alias("_row")),
-        "Partidas": b.texts("lineitem").select(
+        "Partidas": b.raw("lineitem").select(
             folio("O", "l_orderkey").alias("invoice_uuid"),
             F.col("l_partkey").cast("string").alias("clave_prod_serv"),
             F.concat_ws(" ", F.lit(" parte"), "l_returnflag", "l_linestatus")
@@ -111,7 +112,7 @@ def _text_tables(b: Books) -> dict[str, DataFrame]:
             .otherwise("x").alias("valor_unitario"),
             text_money("l_extendedprice").alias("importe"),
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_row")),
-        "Transacciones_Bancarias": b.texts("events").select(
+        "Transacciones_Bancarias": b.raw("events").select(
             folio("E", "event_id").alias("tx_id"),
             F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("cuenta_origen_rfc"),
             F.when(F.col("value") > 0.5, F.col("event_type")).alias("cuenta_destino_rfc"),
@@ -277,10 +278,10 @@ def _raw_lists(b: Books) -> tuple[DataFrame, DataFrame]:
             F.col(key).cast("long").alias("_row"))
     pair = lambda key: F.floor(F.col(key) / 2).cast("long")  # two rows in a row name one ID
     return (rows("supplier", "s_suppkey", "s_name", "s_acctbal", "s_nationkey",
-                 taxid("S", pair("s_suppkey"), 3), "Definitivo", 15),
+                 hashed_taxid("S", pair("s_suppkey"), 3), "Definitivo", 15),
             rows("customer", "c_custkey", "c_name", "c_acctbal", "c_nationkey",
-                 F.when(F.col("c_mktsegment") == "FURNITURE", taxid("S", pair("c_custkey"), 3))
-                 .otherwise(taxid("C", pair("c_custkey"), 4)), "Presunto", 7))
+                 F.when(F.col("c_mktsegment") == "FURNITURE", hashed_taxid("S", pair("c_custkey"), 3))
+                 .otherwise(hashed_taxid("C", pair("c_custkey"), 4)), "Presunto", 7))
 
 
 def _parsed_lists(b: Books) -> list[DataFrame]:
