@@ -12,13 +12,17 @@ from folioscope.llm.op7_quality_rules import op7_quality_rules
 from folioscope.llm.op8_suffixes import op8_suffixes
 from folioscope.llm.op9_quality import op9_quality
 from folioscope.llm.op10_pii import op10_pii
+from folioscope.llm.op11_runs import op11_runs
+from folioscope.llm.op12_fill_in_middle import ORACLE_SQL as OP12_SQL
+from folioscope.llm.op12_fill_in_middle import op12_fill_in_middle
 
 
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_decontamination, op2_secrets, op3_substrings, op4_near_dedup, op5_urls, op6_packing,
-        op7_quality_rules, op8_suffixes, op9_quality, op10_pii)}
+        op7_quality_rules, op8_suffixes, op9_quality, op10_pii, op11_runs,
+        op12_fill_in_middle)}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op12_fill_in_middle": OP12_SQL}
