@@ -7,6 +7,11 @@ e itself. A term that gives `disclosure` of it or more, and is with e in `suppor
 or more, is a span of kind `term` wherever it stands in a document that holds e. `sanitise` puts the kind's name for an
 entity, `[term]` for a term, and nothing for one that gives `removal` or more.
 
+Texts are read once: that pass gives the spans, the terms of every document, and for one
+with an entity the places of its terms. All the rest are joins and sums of hashes. Entities
+that stand in the same documents are counted as one class, and so are terms, so a page of
+many addresses and many names is not multiplied out.
+
 All of it is DataFrame functions. Positions follow from the lengths of matches and of the
 text between them. The patterns are written so that a match never tries the same text
 twice (possessive quantifiers, and starts only where a run can start); the comments say
@@ -40,9 +45,9 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 _MATCH = "struct<start:int,end:int,match:string>"
 _BLOCK = 64                            # matches whose places are summed up in one array
-# A run of letters and digits with a letter in it. One that touches what addresses are made
-# of may be a part of one, so it is no term.
-_TERM = r"(?<![\p{L}0-9])(?=[0-9]*+\p{L})[\p{L}0-9]{4,}+"
+# A run of letters and digits with a letter in it, of any length. One that touches what
+# addresses are made of may be a part of one, so it is no term.
+_TERM = r"(?<![\p{L}0-9])[0-9]*+\p{L}[\p{L}0-9]*+"
 _WORD = rf"(?<![._%+@-]){_TERM}(?![\p{{L}}0-9_%+@-])(?!\.[\p{{L}}0-9])"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
@@ -127,81 +132,141 @@ def listed(spans: Column) -> Column:
         ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def protected(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, spans) of every row; a span also has its entity."""
-    return keyed(docs).select("doc_id", "text_key", F.transform(
-        base_spans(F.col("text")), lambda s: F.struct(
-            s["start"], s["kind"], s["end"], F.xxhash64(s["kind"], F.lower(s["match"]))
-            .alias("entity"))).alias("spans"))
+_PLACES = "array<struct<start:int,end:int,term:bigint>>"
+
+
+def analysed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, spans, terms, places) of every row; a span also has its entity.
+
+    terms are the hashes of all terms; places those of the terms of a row with spans.
+    """
+    text = F.col("text")
+    spans = F.transform(base_spans(text), lambda s: F.struct(
+        s["start"], s["kind"], s["end"],
+        F.xxhash64(s["kind"], F.lower(s["match"])).alias("entity")))
+    terms = F.array_distinct(F.transform(
+        F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)), lambda w: F.xxhash64(w)))
+    places = F.transform(located(text, _WORD), lambda w: F.struct(
+        w["start"], w["end"], F.xxhash64(F.lower(w["match"])).alias("term")))
+    return (keyed(docs).select("doc_id", "text_key", "text", spans.alias("spans"))
+            .select("doc_id", "text_key", "spans", terms.alias("terms"),
+                    F.when(F.size("spans") > 0, places).otherwise(F.array().cast(_PLACES))
+                    .alias("places")))
+
+
+ROW = ["__id", "__key"]
+
+
+def _row_key(found: DataFrame) -> DataFrame:
+    return found.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
 
 
 def _same_row() -> Column:
     return F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))
 
 
-def _hashed(words: Column) -> Column:
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
-
-
-def disclosing(docs: DataFrame, found: DataFrame, support: int,
-               disclosure: float) -> tuple[DataFrame, DataFrame]:
-    """(entity, term, share): the terms that give away an entity, and how much of it; and
-    (__id, __key, entities, times): the distinct rows that hold entities with such numbers."""
-    one = settle(found.groupBy("doc_id", "text_key").agg(
-        F.count("*").alias("times"),
-        F.array_distinct(F.transform(F.first("spans"), lambda s: s["entity"])).alias("entities")))
-    rows = one.count()
-    held = settle(one.select(F.explode("entities").alias("entity")).groupBy("entity")
-                  .agg(F.count("*").alias("n_e"))
-                  .filter((F.col("n_e") >= support) & (F.col("n_e") < rows)))
-    # An entity of fewer documents than `support` has no terms, so most entities end here.
-    holders = settle(one.select("doc_id", "text_key", "times", F.explode("entities").alias("entity"))
-                     .join(held.select("entity"), "entity")
-                     .groupBy("doc_id", "text_key", "times")
-                     .agg(F.collect_list("entity").alias("entities"))
-                     .withColumnsRenamed({"doc_id": "__id", "text_key": "__key"}))
-    # Texts are not shuffled to make rows distinct: each of m equal rows counts 1 / m.
-    again = settle(one.filter("times > 1").select(
-        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "times"))
-    once = F.round(F.sum(1 / F.col("times")))
-    words = _hashed(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))
-    in_docs = (keyed(docs).join(again, _same_row(), "left")
-               .select(F.explode(words).alias("term"), F.coalesce("times", F.lit(1)).alias("times"))
-               .groupBy("term").agg(once.alias("n_t")))
-    terms = _hashed(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
-    together = (keyed(docs).join(holders, _same_row())
-                .select("entities", "times", F.explode(terms).alias("term"))
-                .select(F.explode("entities").alias("entity"), "term", "times")
-                .groupBy("entity", "term").agg(once.alias("n_te"))
-                .filter(F.col("n_te") >= support))
+def _classes(held: DataFrame, what: str, name: str, n: str) -> DataFrame:
+    """(what, name, n): things that stand in the same n rows have the same class."""
+    row = F.struct(*ROW)
+    return held.groupBy(what).agg(
+        F.count("*").alias(n), F.bit_xor(F.xxhash64(row)).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(1), row)).alias("y")).select(
+        what, F.xxhash64(n, "x", "y").alias(name), n)
+
+
+def _count_of_terms(found: DataFrame, times: DataFrame) -> DataFrame:
+    """(term, n_t): rows that hold a term; of equal rows all but one are taken off again."""
+    every = found.select(F.explode("terms").alias("term"), F.lit(1).alias("n"))
+    again = (_row_key(found.select("doc_id", "text_key", "terms"))
+             .join(times.filter("times > 1").withColumnsRenamed({"__id": "i", "__key": "k"}),
+                   F.col("__id").eqNullSafe(F.col("i")) & (F.col("__key") == F.col("k")))
+             .groupBy(*ROW).agg(F.first("terms").alias("terms"), F.first("times").alias("times"))
+             .select(F.explode("terms").alias("term"), (1 - F.col("times")).alias("n")))
+    return every.unionByName(again).groupBy("term").agg(F.sum("n").alias("n_t"))
+
+
+def disclosing(found: DataFrame, support: int, disclosure: float) -> DataFrame:
+    """(__id, __key, told): for distinct rows the terms that give away an entity of theirs, and
+    how much of it. `told` maps a term to the largest such share."""
+    times = settle(_row_key(found.select("doc_id", "text_key")).groupBy(*ROW)
+                   .agg(F.count("*").alias("times")))
+    rows = times.count()
+    one = settle(_row_key(found.filter(F.size("spans") > 0)).groupBy(*ROW).agg(
+        F.array_distinct(F.transform(F.first("spans"), lambda s: s["entity"])).alias("entities"),
+        F.array_distinct(F.transform(F.first("places"), lambda p: p["term"])).alias("terms")))
+    # An entity of fewer rows than `support` has no terms, so most entities end here.
+    entities = one.select(*ROW, F.explode("entities").alias("entity"))
+    known = _classes(entities, "entity", "e_class", "n_e").filter(
+        (F.col("n_e") >= support) & (F.col("n_e") < rows))
+    holds_e = settle(entities.join(settle(known), "entity").select(*ROW, "e_class", "n_e").distinct())
+    holders = holds_e.select(*ROW).distinct().withColumnsRenamed({"__id": "doc_id",
+                                                                  "__key": "text_key"})
+    words = settle(one.join(holders, _same_row(), "left_semi")
+                   .select(*ROW, F.explode("terms").alias("term")))
+    terms = settle(_classes(words, "term", "t_class", "n_h").filter(F.col("n_h") >= support))
+    words = settle(words.join(terms.drop("n_h"), "term"))
+    holds_t = words.select(F.col("__id").alias("doc_id"), F.col("__key").alias("text_key"),
+                           "t_class").distinct()
+    together = (holds_e.join(holds_t, _same_row()).groupBy("e_class", "n_e", "t_class")
+                .agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support))
     share = (F.log2(F.col("n_te") * F.lit(float(rows)) / F.col("n_t") / F.col("n_e"))
              / F.log2(F.lit(float(rows)) / F.col("n_e")))
-    told = (together.join(held, "entity").join(in_docs, "term")
-            .select("entity", "term", share.alias("share")).filter(F.col("share") >= disclosure))
-    return settle(told), holders
+    counted = _count_of_terms(found, times).join(terms, "term")
+    told = settle(together.join(counted, "t_class")
+                  .select("e_class", "term", share.alias("share"))
+                  .filter(F.col("share") >= disclosure))
+    here = holds_e.select(F.col("__id").alias("doc_id"), F.col("__key").alias("text_key"),
+                          F.col("e_class").alias("here"))
+    return settle(words.join(told, "term")
+                  .join(here, _same_row() & (F.col("e_class") == F.col("here")), "left_semi")
+                  .groupBy(*ROW, "term").agg(F.max("share").alias("share"))
+                  .groupBy(*ROW).agg(F.map_from_entries(
+                      F.collect_list(F.struct("term", "share"))).alias("told")))
 
 
 def detect(docs: DataFrame, support: int = 2, disclosure: float = 0.8) -> DataFrame:
     """(doc_id, text_key, spans, terms) of every row; a term also has its share."""
     prepare(docs.sparkSession)
-    found = settle(protected(docs))
-    told, holders = disclosing(docs, found, support, disclosure)
-    marked = (holders.select("__id", "__key", F.explode("entities").alias("entity"))
-              .join(told, "entity").groupBy("__id", "__key", "term").agg(F.max("share").alias("share"))
-              .groupBy("__id", "__key").agg(F.map_from_entries(
-                  F.collect_list(F.struct("term", "share"))).alias("told")))
-    places = F.transform(located(F.col("text"), _WORD), lambda w: F.struct(
+    found = settle(analysed(docs))
+    marked = disclosing(found, support, disclosure)
+    terms = F.filter(F.transform("places", lambda w: F.struct(
         w["start"], F.lit(len(KINDS) - 1).alias("kind"), w["end"],
-        F.try_element_at(F.col("told"), F.xxhash64(F.lower(w["match"]))).alias("share")))
-    terms = (keyed(docs).join(settle(marked), _same_row())
-             .select("__id", "__key", F.filter(places, lambda w: w["share"].isNotNull())
-                     .alias("terms")).dropDuplicates(["__id", "__key"]))
-    plain = found.withColumn("spans", F.transform("spans", lambda s: F.struct(
-        s["start"], s["kind"], s["end"])))
-    return plain.join(terms, _same_row(), "left").select(
-        "doc_id", "text_key", "spans", F.coalesce(
-            "terms", F.array().cast("array<struct<start:int,kind:int,end:int,share:double>>"))
-        .alias("terms"))
+        F.try_element_at(F.col("told"), w["term"]).alias("share"))),
+        lambda w: w["share"].isNotNull())
+    return (found.select("doc_id", "text_key", "spans", "places")
+            .join(marked, _same_row(), "left").select(
+                "doc_id", "text_key",
+                F.transform("spans", lambda s: F.struct(s["start"], s["kind"], s["end"]))
+                .alias("spans"),
+                F.when(F.col("told").isNull(), F.array().cast(
+                    "array<struct<start:int,kind:int,end:int,share:double>>"))
+                .otherwise(terms).alias("terms")))
+
+
+def rewritten(text: Column, marks: Column) -> Column:
+    """A text with the marks (start, end, mark) in place of what they cover.
+
+    The marks are taken in blocks, and each block cuts its part off the rest of the text, so a
+    text of many marks is not copied once per mark.
+    """
+    def block(state: Column, first: Column) -> Column:
+        def step(inner: Column, s: Column) -> Column:
+            return F.when(s["start"] < inner["at"], F.struct(
+                F.greatest(inner["at"], s["end"]).alias("at"), inner["out"])).otherwise(F.struct(
+                    s["end"].alias("at"), F.concat(inner["out"], F.substring(
+                        state["rest"], inner["at"] - state["at"] + 1, s["start"] - inner["at"]),
+                        s["mark"]).alias("out")))
+        inner = F.aggregate(F.slice(marks, first + 1, F.lit(_BLOCK)),
+                            F.struct(state["at"].alias("at"), F.lit("").alias("out")), step)
+        return F.get(F.transform(F.array(inner), lambda s: F.struct(
+            s["at"].alias("at"),
+            F.substring(state["rest"], s["at"] - state["at"] + 1, F.length(state["rest"]))
+            .alias("rest"), F.concat(state["out"], F.array(s["out"])).alias("out"))), 0)
+
+    start = F.struct(F.lit(0).alias("at"), text.alias("rest"),
+                     F.array().cast("array<string>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(marks) - 1, F.lit(_BLOCK)), start, block,
+                       lambda s: F.concat(F.array_join(s["out"], ""), s["rest"]))
 
 
 def sanitise(docs: DataFrame, support: int = 2, disclosure: float = 0.8,
@@ -219,17 +284,7 @@ def sanitise(docs: DataFrame, support: int = 2, disclosure: float = 0.8,
                 .alias("mark"))))).alias("__marks"))
         .filter(F.size("__marks") > 0).dropDuplicates(["__id", "__key"]))
     text = F.col("text")
-
-    def step(state: Column, s: Column) -> Column:
-        return F.when(s["start"] < state["at"], F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"), state["out"])).otherwise(F.struct(
-                s["end"].alias("at"),
-                F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]),
-                         s["mark"]).alias("out")))
-
-    clean = F.aggregate("__marks", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-                        lambda state: F.concat(state["out"], F.substring(
-                            text, state["at"] + 1, F.length(text))))
+    clean = rewritten(text, F.col("__marks"))
     joined = docs.join(
         marks.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
         & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__key")), "left").withColumn(
