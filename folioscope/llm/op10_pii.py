@@ -176,9 +176,10 @@ def _classes(held: DataFrame, what: str, name: str, n: str) -> DataFrame:
 
 def _count_of_terms(found: DataFrame, times: DataFrame) -> DataFrame:
     """(term, n_t): rows that hold a term; of equal rows all but one are taken off again."""
+    times = settle(times.filter("times > 1"))       # its size decides how the terms are joined
     every = found.select(F.explode("terms").alias("term"), F.lit(1).alias("n"))
     again = (_row_key(found.select("doc_id", "text_key", "terms"))
-             .join(times.filter("times > 1").withColumnsRenamed({"__id": "i", "__key": "k"}),
+             .join(times.withColumnsRenamed({"__id": "i", "__key": "k"}),
                    F.col("__id").eqNullSafe(F.col("i")) & (F.col("__key") == F.col("k")))
              .groupBy(*ROW).agg(F.first("terms").alias("terms"), F.first("times").alias("times"))
              .select(F.explode("terms").alias("term"), (1 - F.col("times")).alias("n")))
