@@ -3,6 +3,10 @@
 The text is cut in front of each ID in one pass, so the work grows with the
 length of the text and not with the number of known IDs, and no text is copied
 once per ID. All of it is built-in expressions.
+
+IDs of any other shape are found as literals (`literal_mentions`): each is known by
+the one of its short substrings that is rarest in the texts, the texts are asked for those
+substrings by equality, and only a text that holds one is searched for the whole ID.
 """
 
 from __future__ import annotations
@@ -11,12 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope import fixed_values as fv
+from folioscope.session import settle
 
 # IDs overlap at most in pairs (3 or 4 letters in front of the same digits) and
 # digit runs start at least 9 characters apart, so 48 pieces always span more
 # than the widest window (180) plus the ID itself.
 _PIECES_PER_WINDOW = 48
 _LONGEST_ID = 13
+_GRAM = 4                # length of the substrings that literals are known by
+_PIECE = 4096            # characters of a piece of text that is searched at once
 _START = "\u0001"
 _IN_FRONT_OF_ID = "(?i)(?=" + fv.TAXID_SHAPE.replace("Ñ", "Ññ") + ")"
 
@@ -65,3 +72,79 @@ def taxid_mentions(texts: DataFrame, text_id: str, text: str, window: int) -> Da
     return sized.select(
         text_id, "ordinal", "rfc", "before",
         F.substring(F.col("ahead"), F.col("_size") + 1, F.lit(window)).alias("after"))
+
+
+def _grams(chars: Column, size: int) -> Column:
+    """All substrings of `size` characters, from an array of characters."""
+    whole = F.size(chars) >= size
+    return F.when(whole, F.array_distinct(F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(chars) - size, F.lit(0))),
+        lambda i: F.concat(*(F.get(chars, i + k) for k in range(size)))))).otherwise(
+            F.array().cast("array<string>"))
+
+
+def _all_grams(text: Column, sizes: list[int]) -> Column:
+    return F.flatten(F.transform(F.array(F.split(text, "", -1)), lambda chars: F.flatten(
+        F.array(*(_grams(chars, size) for size in sizes)))))
+
+
+def text_pieces(texts: DataFrame, text_id: str, text: str, reach: int) -> DataFrame:
+    """(text_id, piece, before, body, after): texts in pieces, with `reach` characters around."""
+    size = max(_PIECE, reach)
+    cut = texts.select(text_id, F.regexp_extract_all(
+        F.col(text), F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("_all"))
+    return cut.select(text_id, "_all", F.posexplode("_all").alias("piece", "body")).select(
+        text_id, "piece",
+        F.right(F.coalesce(F.get("_all", F.col("piece") - 1), F.lit("")), F.lit(reach))
+        .alias("before"), "body",
+        F.left(F.coalesce(F.get("_all", F.col("piece") + 1), F.lit("")), F.lit(reach))
+        .alias("after"))
+
+
+def literal_mentions(texts: DataFrame, text_id: str, text: str, ids: DataFrame,
+                     window: int) -> DataFrame:
+    """(text_id, ordinal, rfc, before, after): each place where one of `ids.rfc` stands.
+
+    IDs are any strings that are not empty, and places may overlap. text_id is unique. The
+    join is by equality of substrings of up to four characters, each ID by its rarest one, so
+    neither the number of IDs nor what many of them share multiplies the texts.
+    """
+    ids = ids.select("rfc").where("rfc <> ''").distinct()
+    longest, sizes = ids.agg(F.max(F.length("rfc")), F.collect_set(
+        F.least(F.length("rfc"), F.lit(_GRAM)))).first()
+    if longest is None:
+        nothing = F.lit(None).cast("string")
+        return texts.select(text_id, F.lit(0).cast("long").alias("ordinal"), nothing.alias("rfc"),
+                            nothing.alias("before"), nothing.alias("after")).limit(0)
+    reach = window + longest
+    pieces = settle(text_pieces(texts, text_id, text, reach))
+    own = ids.select("rfc", F.explode(_all_grams(F.col("rfc"), sizes)).alias("gram")).where(
+        F.length("gram") == F.least(F.length("rfc"), F.lit(_GRAM)))
+    asked = pieces.select(text_id, "piece", F.explode(_all_grams(F.concat(
+        "body", F.left("after", F.lit(longest))), sizes)).alias("gram"))
+    held = settle(asked.join(own.select("gram").distinct(), "gram", "left_semi"))
+    common = held.groupBy("gram").agg(F.count("*").alias("n"))
+    # An ID with a substring that no text holds is in no text.
+    known = own.join(common, "gram", "left").groupBy("rfc").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest")).select(
+        "rfc", "rarest.gram", "rarest.n").where("n > 0").drop("n")
+    literal = F.concat(F.lit("(?=\\Q"), F.replace("rfc", F.lit("\\E"), F.lit("\\E\\\\E\\Q")),
+                       F.lit("\\E)"))
+    whole = F.concat("before", "body", "after")
+    met = (held.join(known, "gram").select(text_id, "piece", "rfc").distinct()
+           .join(pieces, [text_id, "piece"]).where(F.contains(whole, F.col("rfc")))
+           .select(text_id, "piece", "rfc", whole.alias("_whole"),
+                   F.length("before").alias("_from"), F.length("body").alias("_length"),
+                   F.split(F.concat(F.lit(_START), whole), literal, -1).alias("_parts")))
+    ends = F.aggregate("_parts", F.array().cast("array<int>"), lambda seen, part: F.concat(
+        seen, F.array(F.coalesce(F.get(seen, F.size(seen) - 1), F.lit(0)) + F.length(part))))
+    starts = F.slice(ends, 1, F.size("_parts") - 1)      # of IDs in _START + whole: from one
+    return (met.select(text_id, "piece", "rfc", "_whole", "_from", "_length",
+                       F.explode(starts).alias("_at"))
+            .where((F.col("_at") > F.col("_from"))
+                   & (F.col("_at") <= F.col("_from") + F.col("_length")))
+            .select(text_id, (F.col("piece").cast("long") * max(_PIECE, reach) + F.col("_at")
+                              - F.col("_from")).alias("ordinal"), "rfc",
+                    F.right(F.left("_whole", F.col("_at") - 1), F.lit(window)).alias("before"),
+                    F.substring(F.col("_whole"), F.col("_at") + F.length("rfc"), F.lit(window))
+                    .alias("after")))

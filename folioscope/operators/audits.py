@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope import fixed_values as fv
-from folioscope.functions.mentions import identifiers, strict_taxids, taxid_mentions
-from folioscope.functions.text import contains_any
+from folioscope.functions.mentions import (identifiers, literal_mentions, strict_taxids,
+                                           taxid_mentions)
+from folioscope.functions.text import contains_any, strip
 
 
 def cited_identifiers(texts: DataFrame) -> DataFrame:
@@ -38,23 +39,31 @@ def seen_identifiers(answers: DataFrame, shown: DataFrame) -> DataFrame:
     return answers.select("answer_id", "lead_id").join(cited, "lead_id").select("answer_id", "id")
 
 
-def not_audited(confirmed: DataFrame) -> DataFrame:
-    """Confirmed IDs of another shape than a tax ID's, which A3-A5 do not look for."""
-    return confirmed.where(~F.upper("rfc_imputado").rlike(f"^{fv.TAXID_SHAPE}$")).select(
-        "rfc_imputado").distinct()
+def odd_shaped(confirmed: DataFrame, column: str = "rfc_imputado") -> DataFrame:
+    """(rfc): confirmed IDs of another shape than a tax ID's; A3 and A5 search them as literals."""
+    own = strip(F.col(column))
+    return confirmed.select(own.alias("rfc")).where(
+        (F.col("rfc") != "") & ~F.upper("rfc").rlike(f"^{fv.TAXID_SHAPE}$")).distinct()
 
 
 def denied_cases(texts: DataFrame, confirmed: DataFrame) -> DataFrame:
     """A3. (answer_id, rfc): confirmed IDs a text presents as not accused.
 
-    A negation counts within the 140 characters before the ID and in its sentence.
+    A negation counts within the 140 characters before the ID and in its sentence. Letter
+    case does not count, and the IDs come out in upper case.
     """
-    found = taxid_mentions(texts, "answer_id", "text", fv.NEGATION_WINDOW)
-    sentence = F.element_at(F.split(F.lower("before"), fv.SENTENCE_ENDS, -1), -1)
-    denied = found.where(contains_any(sentence, fv.NEGATIONS)).select(
-        "answer_id", F.upper("rfc").alias("rfc")).distinct()
-    return denied.join(confirmed.select(F.upper("rfc_imputado").alias("rfc")), "rfc",
-                       "left_semi").select("answer_id", "rfc")
+    shaped = taxid_mentions(texts, "answer_id", "text", fv.NEGATION_WINDOW)
+    odd = odd_shaped(confirmed).select(F.lower("rfc").alias("rfc"))
+    others = literal_mentions(texts.select("answer_id", F.lower("text").alias("text")),
+                              "answer_id", "text", odd, fv.NEGATION_WINDOW)
+
+    def denied(found: DataFrame) -> DataFrame:
+        sentence = F.element_at(F.split(F.lower("before"), fv.SENTENCE_ENDS, -1), -1)
+        return found.where(contains_any(sentence, fv.NEGATIONS)).select(
+            "answer_id", F.upper("rfc").alias("rfc")).distinct()
+    known = denied(shaped).join(
+        confirmed.select(F.upper(strip(F.col("rfc_imputado"))).alias("rfc")), "rfc", "left_semi")
+    return known.unionByName(denied(others)).select("answer_id", "rfc")
 
 
 def wrong_list_status(texts: DataFrame, blacklist: DataFrame) -> DataFrame:
@@ -98,7 +107,11 @@ def swapped_amounts(texts: DataFrame, amounts: DataFrame) -> DataFrame:
     lists them. An amount no case has is not reported, it may come from a legitimate
     query.
     """
-    found = taxid_mentions(texts, "answer_id", "text", fv.MONEY_WINDOW)
+    wanted = ["answer_id", "ordinal", "rfc", "before", "after"]
+    found = taxid_mentions(texts, "answer_id", "text", fv.MONEY_WINDOW).select(
+        "answer_id", F.col("ordinal").cast("long").alias("ordinal"), "rfc", "before", "after")
+    found = found.unionByName(literal_mentions(
+        texts, "answer_id", "text", odd_shaped(amounts, "rfc"), fv.MONEY_WINDOW).select(*wanted))
     around = F.concat("before", "rfc", "after")
     figures = found.select(
         "answer_id", "rfc", "ordinal",

@@ -1055,6 +1055,31 @@ from orders join first on rfc = {_CUS}
 union all
 select distinct 'I' || receptor_rfc || '/' || cast(total as varchar), receptor_rfc,
        cast(total as decimal(24,2)) from invoices""")
+# By construction, the order's answer and the document's name one customer each.
+_SQL["a3_denied_odd_ids"] = """
+select 'O' || cast(o_orderkey as varchar) as answer_id, upper(c_name) as rfc
+from orders join customer on c_custkey = o_custkey
+where c_acctbal > 0 and o_orderpriority in ('1-URGENT', '3-MEDIUM')
+union all
+select 'D' || cast(doc_id as varchar), upper(c_name)
+from documents join customer on c_name = 'Customer#' || lpad(cast(doc_id % 2000 as varchar), 9, '0')
+where c_acctbal > 0"""
+_SQL["a5_swapped_odd_ids"] = f"""
+with amounts as (
+  select c_name as rfc, max(cast({money('o_totalprice')} as decimal(24,2))) as monto
+  from orders join customer on c_custkey = o_custkey group by c_name),
+owners as (select monto, min(rfc) as dueno, count(*) as n_duenos from amounts group by monto),
+said as (
+  select 'R' || c_name as answer_id, c_name as rfc, a.monto from customer
+  join amounts a on a.rfc = 'Customer#' || lpad(cast(c_custkey + 7 as varchar), 9, '0')
+  union all
+  select 'O' || cast(o_orderkey as varchar), c_name,
+         cast({money('o_totalprice')} as decimal(24,2))
+  from orders join customer on c_custkey = o_custkey
+  where o_orderpriority not in ('1-URGENT', '2-HIGH', '3-MEDIUM'))
+select s.answer_id, s.rfc, cast(s.monto as double) as monto, o.dueno, o.n_duenos
+from said s join owners o on o.monto = s.monto join amounts a on a.rfc = s.rfc
+where a.monto <> s.monto"""
 _SQL["a6_report_reconciliation"] = _draft_case(f"""
 select 'MONTO' as clase, valor, cast(replace(valor, ',', '') as decimal(24,2)) in (
          select cast(total as decimal(24,2)) from invoices union all

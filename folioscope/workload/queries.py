@@ -921,6 +921,57 @@ def _(b):
     return audits.denied_cases(answers(b), _confirmed_buyers(b)[0])
 
 
+def _named_answers(b: Books) -> DataFrame:
+    """Answers about customers under their names, which have not the shape of a tax ID: one
+    per order, and each document with a name in the middle of it."""
+    priority = F.col("o_orderpriority")
+    amount = F.format_number(money("o_totalprice"), 2)
+    about = b.raw("orders").join(b.raw("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    said = (F.when(priority == "1-URGENT", F.concat(
+                F.lit("No se imputo a "), F.col("c_name"), F.lit(" por falta de pruebas.")))
+            .when(priority == "2-HIGH", F.concat(
+                F.lit("No hay leads descartados; el expediente imputo a "), F.col("c_name")))
+            .when(priority == "3-MEDIUM", F.concat(
+                F.lit("Fue exonerada "), F.upper("c_name"), F.lit(" en la revision.")))
+            .otherwise(F.concat(F.lit("El monto de "), F.col("c_name"), F.lit(" es $"), amount,
+                                F.lit(" MXN."))))
+    by_order = about.select(
+        F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("answer_id"),
+        said.alias("text"))
+    name = F.format_string("Customer#%09d", F.col("doc_id") % 2000)
+    by_document = b.raw("documents").select(
+        F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("answer_id"),
+        F.concat(F.col("text"), F.lit(" No acuse a "), name, F.lit(", "), F.col("text"))
+        .alias("text"))
+    return by_order.unionByName(by_document)
+
+
+@_registered("a3_denied_odd_ids", stored=True)
+def _(b):
+    """Confirmed are the customers with a positive balance, by name."""
+    confirmed = b.raw("customer").where("c_acctbal > 0").select(
+        F.col("c_name").alias("rfc_imputado"))
+    return audits.denied_cases(_named_answers(b), confirmed)
+
+
+@_registered("a5_swapped_odd_ids", stored=True)
+def _(b):
+    """Each customer's case is worth its largest order; answers name all its orders."""
+    amounts = settle(b.raw("orders").join(
+        b.raw("customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(
+        F.col("c_name").alias("rfc")).agg(F.max(money("o_totalprice")).cast("decimal(24,2)")
+                                          .alias("monto")))
+    rotated = b.raw("customer").select(
+        F.col("c_name").alias("rfc"), F.format_string(
+            "Customer#%09d", F.col("c_custkey") + 7).alias("otro"))
+    said = rotated.join(amounts.select(F.col("rfc").alias("otro"), F.col("monto").alias("_m")),
+                        "otro").select(
+        F.concat(F.lit("R"), F.col("rfc")).alias("answer_id"),
+        F.concat(F.lit("El caso "), F.col("rfc"), F.lit(" suma $"), F.format_number("_m", 2),
+                 F.lit(" MXN")).alias("text"))
+    return audits.swapped_amounts(said.unionByName(_named_answers(b)), amounts)
+
+
 @_registered("a4_wrong_list_status")
 def _(b):
     return audits.wrong_list_status(answers(b), b.blacklist)

@@ -1,10 +1,11 @@
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pytest
 
 from folioscope import schema
-from folioscope.functions.mentions import taxid_mentions
+from folioscope.functions.mentions import literal_mentions, taxid_mentions
 from folioscope.operators import audits
 
 CONFIRMED = "QLM170815T63"
@@ -132,6 +133,42 @@ def test_what_a_case_showed_counts_as_seen(spark):
     assert [r["id"] for r in audits.invented_identifiers(answers, seen).collect()] == ["NPD090630C47"]
 
 
-def test_ids_of_another_shape_are_listed(spark):
-    found = audits.not_audited(_cases(spark, CONFIRMED, "RFC-ROTO-1"))
-    assert [r["rfc_imputado"] for r in found.collect()] == ["RFC-ROTO-1"]
+ODD = ["RFC-ROTO-1", "x", "Ñandú S.A. (\\E)", "aXa", "GENERICO"]
+
+
+def _plain_places(texts, ids, window):
+    return sorted((str(i), r, t[max(0, k - window):k], t[k + len(r):k + len(r) + window])
+                  for i, t in enumerate(texts) for r in ids
+                  for k in range(len(t)) if t.startswith(r, k))
+
+
+def test_ids_of_any_shape_are_found_as_literals(spark):
+    rng = random.Random(3)
+    texts = ["", "aXaXa", "RFC-ROTO-1", "RFC-ROTO-", "é" * 4094 + "RFC-ROTO-1 y aXa" + "z" * 5000,
+             "y" * 9000 + "Ñandú S.A. (\\E) fin"]
+    texts += ["".join(rng.choice("aXx -1R") for _ in range(rng.randrange(300))) for _ in range(20)]
+    ids = spark.createDataFrame([(r,) for r in [*ODD, "", "RFC-ROTO-1"]], "rfc string")
+    got = literal_mentions(_texts(spark, *texts), "answer_id", "text", ids, 30).collect()
+    assert sorted((r["answer_id"], r["rfc"], r["before"], r["after"]) for r in got) == \
+        _plain_places(texts, ODD, 30)
+    by_place = sorted(got, key=lambda r: r["ordinal"])
+    assert [r["before"][-1:] for r in by_place if r["rfc"] == "aXa" and r["answer_id"] == "1"] == [
+        "", "X"]
+    none = literal_mentions(_texts(spark, "a"), "answer_id", "text", ids.limit(0), 30)
+    assert none.count() == 0
+
+
+def test_odd_ids_are_audited(spark):
+    confirmed = _cases(spark, CONFIRMED, " rfc-roto-1 ", "GENERICO", None, "")
+    assert {r["rfc"] for r in audits.odd_shaped(confirmed).collect()} == {"rfc-roto-1", "GENERICO"}
+    texts = _texts(spark, "Dije que no acuse a RFC-Roto-1: faltaban papeles.",
+                   "Sin leads descartados; queda imputado GENERICO.", "No se imputo a GenericO ya.",
+                   f"En mayo no se imputo a {CONFIRMED}.", None)
+    got = {tuple(r) for r in audits.denied_cases(texts, confirmed).collect()}
+    assert got == {("0", "RFC-ROTO-1"), ("2", "GENERICO"), ("3", CONFIRMED)}
+    amounts = _amounts(spark, (("RFC-ROTO-1", 10.0), ("GENERICO", 2245374.0)))
+    said = _texts(spark, "RFC-ROTO-1 debe $1,315,556.03 MXN y $10.00", "rfc-roto-1 $1,315,556.03",
+                  "GENERICO lleva $10.00, no 2,245,374.00", "GENERICO lleva 2,245,374.00")
+    rows = audits.swapped_amounts(said, amounts).collect()
+    assert {(r["answer_id"], r["rfc"], r["dueno"]) for r in rows} == {
+        ("0", "RFC-ROTO-1", "WTB210404K8A"), ("2", "GENERICO", "RFC-ROTO-1")}
