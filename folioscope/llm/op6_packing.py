@@ -2,8 +2,8 @@
 
 Documents are tokenised where they lie. One longer than a sequence is cut so that all
 pieces but the first are full; full pieces are sequences of their own. The rests are
-dealt by hash into groups of bounded size, and each group is packed by best-fit
-decreasing: a segment tree over remaining capacities finds the tightest open sequence
+dealt in turn into groups of bounded size, however many rows are equal, and each group is
+packed by best-fit decreasing: a segment tree over remaining capacities finds the tightest open sequence
 in a number of steps that depends on the capacity alone. A group wastes about one
 sequence of thousands.
 
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.shared import bucket_count, keyed, prepare, str_texts, table
+from folioscope.session import settle
 
 END = 2
 BLANKS = 100_000      # a run from which a text is left to the tokenizers library
@@ -155,9 +156,11 @@ def tokenised(docs: DataFrame, capacity: int, groups: int, vocabulary: str | Non
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("pack_group"), pa.array(sizes, pa.int64()),
                  pa.array(sums, pa.binary())], names=["doc_id", "pack_group", "n", "sums"])
-    dealt = keyed(docs).select("doc_id", "text", F.pmod(
-        F.xxhash64("doc_id", "text_key"), F.lit(groups)).alias("pack_group"))
-    return dealt.mapInArrow(work, "doc_id long, pack_group long, n long, sums binary")
+    # The counter of a partition deals its rows in turn. What it dealt is written, so a task that
+    # runs again cannot deal otherwise. IDs are strings: pandas has no exact number beside null.
+    dealt = keyed(docs).select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.pmod(
+        F.monotonically_increasing_id(), F.lit(groups)).alias("pack_group"))
+    return settle(dealt.mapInArrow(work, "doc_id string, pack_group long, n long, sums binary"))
 
 
 def pack(docs: DataFrame, capacity: int = 1024, group_rows: int = 16384,
@@ -181,16 +184,17 @@ def pack(docs: DataFrame, capacity: int = 1024, group_rows: int = 16384,
         number = piece - (rest[row] > 0)                 # of the full piece in its document
         base = int(rows["pack_group"].iloc[0]) << 32
         return pd.DataFrame({
-            "doc_id": rows["doc_id"].array[row], "piece": piece.astype(np.int32),
+            "doc_id": rows["doc_id"].to_numpy(object)[row], "piece": piece.astype(np.int32),
             "start": np.where(is_rest, 0, rest[row] + number * capacity),
             "length": np.where(is_rest, rest[row], capacity),
             "ids_crc32": np.frombuffer(b"".join(rows["sums"]), "<u4").astype(np.int64),
             "sequence_id": base + np.where(is_rest, first_bin[row], own[row] + number),
             "offset": np.where(is_rest, first_offset[row], 0)})
 
-    return tokenised(docs, capacity, groups, vocabulary).groupBy("pack_group").applyInPandas(
-        work, "doc_id long, piece int, start long, length long, ids_crc32 long, "
+    packed = tokenised(docs, capacity, groups, vocabulary).groupBy("pack_group").applyInPandas(
+        work, "doc_id string, piece int, start long, length long, ids_crc32 long, "
               "sequence_id long, offset long")
+    return packed.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

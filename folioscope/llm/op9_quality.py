@@ -145,21 +145,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000,
         max_passages: int = 256) -> Network | None:
     """Learn from at most `sample_rows` labelled documents that are not held out.
 
-    Documents of more than `max_passages` passages are left out of the learning (not
-    of the scoring), so what reaches the driver is bounded.
+    Of a document of more than `max_passages` passages, so many are learned from, evenly
+    spread over it (all are scored), so what reaches the driver is bounded.
     """
     sample = labelled_sample(docs, labels.filter(~held_out("doc_id")), sample_rows, 9)
-    sample = sample.filter(F.coalesce(F.octet_length("text"), F.lit(0))
-                           <= max_passages * PASSAGE)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, counts = passages(byte_texts(batch))
-            ends = np.cumsum(counts)
+            kept = [np.linspace(e - c, e - 1, min(c, max_passages)).astype(int)
+                    for e, c in zip(np.cumsum(counts), counts)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array(counts),
-                 pa.array([x[e - c:e].astype(np.float32).tobytes()
-                           for e, c in zip(ends, counts)], pa.binary())],
+                [batch.column("doc_id"), batch.column("label"),
+                 pa.array([len(k) for k in kept], pa.int64()),
+                 pa.array([x[k].astype(np.float32).tobytes() for k in kept], pa.binary())],
                 names=["doc_id", "label", "n", "x"])
     rows = sample.mapInArrow(work, "doc_id long, label int, n long, x binary").toPandas()
     rows = rows.sort_values(["doc_id", "n"], kind="stable")

@@ -86,12 +86,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, salt: int) ->
 
     The bound makes the broadcast side small at any size of the corpus. A label row
     without an ID or a 0/1 label is left out; of several rows of an ID the smaller
-    label counts, so repeated rows do not matter.
+    label counts, so repeated rows do not matter. Of several documents of an ID, one
+    stands for all, chosen by the hash of its text.
     """
     chosen = (labels.select(F.col("doc_id").cast("long").alias("doc_id"),
                             F.col("quality").cast("int").alias("label"))
               .filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
               .groupBy("doc_id").agg(F.min("label").alias("label"))
               .orderBy(F.xxhash64(F.col("doc_id"), F.lit(salt)), "doc_id").limit(rows))
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .join(F.broadcast(chosen), "doc_id"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+        F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(
+        F.min("label").alias("label"),
+        F.min(F.struct(text_key(F.col("text")).alias("key"), "text")).alias("one")).select(
+        "doc_id", F.col("one.text").alias("text"), "label")

@@ -111,3 +111,16 @@ def test_best_fit_takes_the_tightest_bin():
         assert opened == len(room)
         left = capacity - offset - lengths
         assert sorted(left.tolist()) == sorted(plain.tolist())
+
+
+def test_exact_ids_beside_null_and_equal_rows(spark, tokenizer):
+    """IDs above 2^53 beside null ones; one row a third of all is dealt over all groups."""
+    ids = [2**60 + 1, None, 2**60 + 3, -(2**62) - 1]
+    rows = [(i, f"text {i}") for i in ids] + [(5, "one and the same row")] * 300
+    got = op6.pack(corpus.documents(spark, rows), group_rows=64).collect()
+    assert sorted((r.doc_id for r in got), key=repr) == sorted((i for i, _ in rows), key=repr)
+    groups = defaultdict(int)
+    for r in got:
+        groups[r.sequence_id >> 32] += 1
+    assert len(groups) == 5 and max(groups.values()) <= 64 + 8
+    assert op6.pack(corpus.empty(spark)).count() == 0

@@ -8,6 +8,7 @@ import numpy as np
 
 from folioscope.llm import op7_quality_rules as op7
 from folioscope.llm import op9_quality as op9
+from folioscope.llm.shared import labelled_sample
 from tests.llm import corpus
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -123,3 +124,20 @@ def test_gradient_is_the_slope():
         down = loss()
         flat[at] += 1e-6
         assert abs((up - down) / 2e-6 - grad[name].reshape(-1)[at]) < 1e-6
+
+
+def test_a_document_of_many_rows_is_one_of_the_sample(spark):
+    rows = [(1, "the same row again and again")] * 40_000 + [(2, "another"), (1, None), (None, "x")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, 1), (None, 0)],
+                                   "doc_id long, quality int")
+    got = labelled_sample(corpus.documents(spark, rows), labels, 4000, 7).collect()
+    assert sorted((r.doc_id, r.label) for r in got) == [(1, 1), (2, 0)]
+
+
+def test_long_documents_are_learned_from_too(spark):
+    docs, labels = labelled(spark, 200)
+    long = docs.withColumn("text", op9.F.repeat("text", 30))
+    net = op9.fit(long, labels, max_passages=8)
+    rows = op9.scored(long, net, "doc_id").join(labels, "doc_id").filter("quality is not null")
+    right = [(r.score >= 0.3) == r.quality for r in rows.collect()]
+    assert sum(right) > 0.9 * len(right)
