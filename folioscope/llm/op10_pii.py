@@ -187,14 +187,14 @@ def _count_of_terms(found: DataFrame, times: DataFrame) -> DataFrame:
 
 
 def disclosing(found: DataFrame, support: int, disclosure: float) -> DataFrame:
-    """(__id, __key, told): for distinct rows the terms that give away an entity of theirs, and
-    how much of it. `told` maps a term to the largest such share."""
+    """(__id, __key, terms): for distinct rows the places of the terms that give away an entity
+    of theirs, each with the largest share of one that it gives."""
     times = settle(_row_key(found.select("doc_id", "text_key")).groupBy(*ROW)
                    .agg(F.count("*").alias("times")))
     rows = times.count()
     one = settle(_row_key(found.filter(F.size("spans") > 0)).groupBy(*ROW).agg(
         F.array_distinct(F.transform(F.first("spans"), lambda s: s["entity"])).alias("entities"),
-        F.array_distinct(F.transform(F.first("places"), lambda p: p["term"])).alias("terms")))
+        F.first("places").alias("places")))
     # An entity of fewer rows than `support` has no terms, so most entities end here.
     entities = one.select(*ROW, F.explode("entities").alias("entity"))
     known = _classes(entities, "entity", "e_class", "n_e").filter(
@@ -203,10 +203,10 @@ def disclosing(found: DataFrame, support: int, disclosure: float) -> DataFrame:
     holders = holds_e.select(*ROW).distinct().withColumnsRenamed({"__id": "doc_id",
                                                                   "__key": "text_key"})
     words = settle(one.join(holders, _same_row(), "left_semi")
-                   .select(*ROW, F.explode("terms").alias("term")))
+                   .select(*ROW, F.explode(F.array_distinct(F.transform(
+                       "places", lambda p: p["term"]))).alias("term")))
     terms = settle(_classes(words, "term", "t_class", "n_h").filter(F.col("n_h") >= support))
-    words = settle(words.join(terms.drop("n_h"), "term"))
-    holds_t = words.select(F.col("__id").alias("doc_id"), F.col("__key").alias("text_key"),
+    holds_t = words.join(terms.drop("n_h"), "term").select(F.col("__id").alias("doc_id"), F.col("__key").alias("text_key"),
                            "t_class").distinct()
     together = (holds_e.join(holds_t, _same_row()).groupBy("e_class", "n_e", "t_class")
                 .agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support))
@@ -218,11 +218,14 @@ def disclosing(found: DataFrame, support: int, disclosure: float) -> DataFrame:
                   .filter(F.col("share") >= disclosure))
     here = holds_e.select(F.col("__id").alias("doc_id"), F.col("__key").alias("text_key"),
                           F.col("e_class").alias("here"))
-    return settle(words.join(told, "term")
+    spots = (one.join(holders, _same_row(), "left_semi")
+             .select(*ROW, F.explode("places").alias("p")).select(*ROW, "p.*"))
+    return settle(spots.join(told, "term")
                   .join(here, _same_row() & (F.col("e_class") == F.col("here")), "left_semi")
-                  .groupBy(*ROW, "term").agg(F.max("share").alias("share"))
-                  .groupBy(*ROW).agg(F.map_from_entries(
-                      F.collect_list(F.struct("term", "share"))).alias("told")))
+                  .groupBy(*ROW, "start", "end").agg(F.max("share").alias("share"))
+                  .groupBy(*ROW).agg(F.array_sort(F.collect_list(F.struct(
+                      "start", F.lit(len(KINDS) - 1).alias("kind"), "end", "share")))
+                      .alias("terms")))
 
 
 def detect(docs: DataFrame, support: int = 2, disclosure: float = 0.8) -> DataFrame:
@@ -230,18 +233,11 @@ def detect(docs: DataFrame, support: int = 2, disclosure: float = 0.8) -> DataFr
     prepare(docs.sparkSession)
     found = settle(analysed(docs))
     marked = disclosing(found, support, disclosure)
-    terms = F.filter(F.transform("places", lambda w: F.struct(
-        w["start"], F.lit(len(KINDS) - 1).alias("kind"), w["end"],
-        F.try_element_at(F.col("told"), w["term"]).alias("share"))),
-        lambda w: w["share"].isNotNull())
-    return (found.select("doc_id", "text_key", "spans", "places")
+    plain = F.transform("spans", lambda s: F.struct(s["start"], s["kind"], s["end"]))
+    return (found.select("doc_id", "text_key", plain.alias("spans"))
             .join(marked, _same_row(), "left").select(
-                "doc_id", "text_key",
-                F.transform("spans", lambda s: F.struct(s["start"], s["kind"], s["end"]))
-                .alias("spans"),
-                F.when(F.col("told").isNull(), F.array().cast(
-                    "array<struct<start:int,kind:int,end:int,share:double>>"))
-                .otherwise(terms).alias("terms")))
+                "doc_id", "text_key", "spans", F.coalesce("terms", F.array().cast(
+                    "array<struct<start:int,kind:int,end:int,share:double>>")).alias("terms")))
 
 
 def rewritten(text: Column, marks: Column) -> Column:
