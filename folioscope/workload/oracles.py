@@ -346,6 +346,9 @@ _SQL["s17c_archived_cases"] = _draft_case("""
 select lead_id, rfc_imputado, tipo_esquema,
        cast(monto_total_evidencia as double) as monto_total_evidencia
 from verdicts where confirmado""")
+_SQL["s17d_deleted_run"] = _draft_case("""
+select count(*) as n_leads, 1 as n_expedientes, true as estaba, false as sigue, true as borrado
+from verdicts""")
 _SQL["s7_reference_violations"] = with_tables("""
 select tabla, columna, valor, count(*) as n from (
   select 'invoices' as tabla, 'emisor_rfc' as columna, emisor_rfc as valor from bills
@@ -417,6 +420,10 @@ select {customer_id('c_custkey')} as rfc, c_name as razon_social,
        cast(null as varchar) as fecha_constitucion, cast(null as varchar) as representante_legal,
        cast(c_nationkey as varchar) as codigo_postal, cast(null as varchar) as es_empresa_auditada
 from customer"""
+_SQL["s12d_inferred_table"] = _SQL["s13_translated"]
+_SQL["s20_canonical_input"] = """
+select 'Entidades' as tabla, count(*) as n from customer
+union all select unnest(['Facturas', 'Lista_69B', 'Partidas', 'Transacciones_Bancarias']), 0"""
 
 # --- documents ------------------------------------------------------------------------------
 

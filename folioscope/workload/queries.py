@@ -7,6 +7,7 @@ result can be compared with `oracles.py` value by value.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -239,6 +240,22 @@ def _(b):
         "lead_id", "rfc_imputado", "tipo_esquema", "monto_total_evidencia")
 
 
+@_registered("s17d_deleted_run", stored=True)
+def _(b):
+    """The archive's headers and leads after one of two runs was deleted."""
+    verdicts, resolved = _draft_case(b)
+    lines = report.case_document(verdicts, resolved, "2024-01-01 00:00")
+    kept = archive.Archive(b.spark, f"{_own_folder(b)}/archive")
+    first = kept.save(verdicts, resolved, lines, "plantilla")
+    second = kept.save(verdicts, resolved, lines, "plantilla")
+    there, again = kept.delete(first), kept.delete(first)
+    gone = kept.open(first) is None
+    leads_left = kept.open(second)["leads"].agg(F.count("*").alias("n_leads"))
+    return leads_left.select(
+        "n_leads", F.lit(kept.headers.count()).alias("n_expedientes"), F.lit(there).alias("estaba"), F.lit(again).alias("sigue"),
+        F.lit(gone).alias("borrado"))
+
+
 @_registered("s7_reference_violations", stored=True)
 def _(b):
     """Whole tables, some of whose keys are broken."""
@@ -312,16 +329,35 @@ def _(b):
                                      F.length(name).alias("largo"))
 
 
-@_registered("s13_translated")
-def _(b):
-    foreign_table = b.raw("customer").select(
+def _foreign_table(b: Books) -> DataFrame:
+    return b.raw("customer").select(
         customer_id("c_custkey").alias("RFC Contribuyente"), F.col("c_name").alias("Nombre"),
         F.col("c_nationkey").alias("C.P."), F.col("c_mktsegment").alias("Segmento"),
         F.col("c_custkey").alias("_row"))
-    tables, _ = foreign.translate(b.spark, {"Padrón de clientes": foreign_table})
+
+
+@_registered("s13_translated")
+def _(b):
+    tables, _ = foreign.translate(b.spark, {"Padrón de clientes": _foreign_table(b)})
     return tables["Entidades"].drop("_row")
 
 
+@_registered("s12d_inferred_table")
+def _(b):
+    """A table whose name says nothing is known by its columns."""
+    tables, _ = foreign.translate(b.spark, {"Hoja 1": _foreign_table(b)})
+    return tables["Entidades"].drop("_row")
+
+
+@_registered("s20_canonical_input")
+def _(b):
+    """The rows of every table of a foreign folder that has one of the five."""
+    tables, _ = foreign.canonical_input(b.spark, {"Padrón de clientes": _foreign_table(b)})
+    counted = [df.agg(F.lit(name).alias("tabla"), F.count("*").alias("n"))
+               for name, df in sorted(tables.items())]
+    return reduce(DataFrame.unionByName, counted)
+
+
 # --- documents -------------------------------------------------------------------
 
 def invoice_texts(b: Books) -> DataFrame:
