@@ -125,9 +125,10 @@ def load(spark: SparkSession, folder: str | None, store: warehouse.Warehouse,
                                          if s in canonical.KEYS else df)
         for s, df in typed.items() if s != "Lista_69B"}
     reject_if_any(integrity.reference_violations(current))
-    current["blacklist_69b"] = canonical.merged_blacklist(
-        store.table("blacklist_69b"), typed["Lista_69B"])
-    store.replace(current)
+    with store.reading() as version:
+        current["blacklist_69b"] = canonical.merged_blacklist(
+            store.table("blacklist_69b", version), typed["Lista_69B"])
+        store.replace(current)
     return settle(canonical.load_counts(
         {schema.TABLE_OF_SHEET[s]: df for s, df in typed.items()})), translation
 

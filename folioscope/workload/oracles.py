@@ -342,6 +342,11 @@ select 0 as primera, count(*) - 1 as ultima, count(*) as distintas from lineitem
 _SQL["s8_stored_invoices"] = with_tables("""
 select uuid, emisor_rfc, receptor_rfc, cast(total as double) as total, metodo_pago, estado_cfdi
 from invoices""", "invoices")
+_SQL["s8_expired_loads"] = with_tables("""
+select 1 as version, count(*) as n, cast(sum(total) as double) as total from invoices
+union all
+select 3, count(*), cast(sum(total) as double) from invoices
+where metodo_pago = 'PPD'""", "invoices")
 _SQL["s17c_archived_cases"] = _draft_case("""
 select lead_id, rfc_imputado, tipo_esquema,
        cast(monto_total_evidencia as double) as monto_total_evidencia

@@ -7,6 +7,7 @@ result can be compared with `oracles.py` value by value.
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -227,6 +228,21 @@ def _(b):
                                           "metodo_pago", "estado_cfdi")
 
 
+@_registered("s8_expired_loads", stored=True)
+def _(b):
+    """The rows of the loads that are left, where the first of three is still read."""
+    store = warehouse.Warehouse(b.spark, f"{_own_folder(b)}/books")
+    store.replace({"invoices": b.invoices})
+    with store.reading():
+        store.replace({"invoices": b.invoices.where("metodo_pago = 'PUE'")})
+        store.replace({"invoices": b.invoices.where("metodo_pago = 'PPD'")})
+        store.expire(keep=1, unread=timedelta(0))
+    return reduce(DataFrame.unionByName, [
+        store.table("invoices", version).agg(
+            F.lit(version).alias("version"), F.count("*").alias("n"), F.sum("total").alias("total"))
+        for version in store.versions()])
+
+
 @_registered("s17c_archived_cases", stored=True)
 def _(b):
     """The confirmed cases of a run that was archived, beside one that was deleted again."""

@@ -1,3 +1,4 @@
+from datetime import timedelta
 from decimal import Decimal
 
 import pytest
@@ -91,6 +92,54 @@ def test_whole_run(spark, tmp_path):
     assert archive.delete(out["expediente_id"]) and archive.count() == 0
 
 
+def _loaded(store, n):
+    """A load of n invoices."""
+    rows = store.spark.range(n).select(F.col("id").cast("string").alias("uuid"))
+    for field in schema.CASE_TABLES["invoices"].fields:
+        if field.name != "uuid":
+            rows = rows.withColumn(field.name, F.lit(None).cast(field.dataType))
+    return {"invoices": rows}
+
+
+def test_expiry_waits_for_readers(spark, tmp_path):
+    store, now = Warehouse(spark, str(tmp_path / "books")), timedelta(0)
+    assert store.expire() == []                                     # nothing was loaded
+    store.replace(_loaded(store, 3))
+    with store.reading() as version:
+        old = store.table("invoices", version)
+        store.replace(_loaded(store, 4))
+        store.replace(_loaded(store, 5))
+        assert store.expire() == []                                 # replaced just now
+        assert store.expire(keep=2, unread=now) == []               # read, or among the newest
+        assert store.expire(keep=1, unread=now) == [2]
+        assert version == 1 and old.count() == 3
+        with store.reading() as later:
+            assert later == 3
+    assert store.expire(keep=1, unread=now) == [1]
+    assert store.versions() == [3] and store.table("invoices").count() == 5
+    assert store.expire(keep=1, unread=now) == []
+    with pytest.raises(ValueError):
+        store.expire(keep=0)
+
+
+def test_expiry_of_unfinished_loads_and_lost_readers(spark, tmp_path):
+    store, now = Warehouse(spark, str(tmp_path / "books")), timedelta(0)
+    store.replace(_loaded(store, 1))
+    slow, lost = store.stage(_loaded(store, 2)), store.stage(_loaded(store, 3))
+    assert (slow, lost) == (2, 3)
+    assert store.expire(keep=1, unread=now) == []                   # they may still commit
+    assert store.commit(slow) == 2 and store.table("invoices").count() == 2
+    assert store.expire(keep=2, abandoned=now) == [lost]
+    with pytest.raises(RuntimeError):
+        store.commit(lost)
+    assert store.current_version() == 2
+    assert store.replace(_loaded(store, 4)) == 4                    # its number is not used again
+    (tmp_path / "books" / "readers" / "1").mkdir(parents=True)
+    (tmp_path / "books" / "readers" / "1" / "dead").touch()         # its driver was lost
+    assert store.expire(keep=2, unread=now) == []
+    assert store.expire(keep=2, unread=now, abandoned=now) == [1]
+
+
 def test_a_bad_row_rejects_the_load_before_anything_is_written(spark, tmp_path):
     source = tmp_path / "libros"
     source.mkdir()
