@@ -13,6 +13,8 @@ from folioscope import fixed_values as fv
 from folioscope.functions.mentions import (identifiers, literal_mentions, strict_taxids,
                                            taxid_mentions)
 from folioscope.functions.text import contains_any, strip
+from folioscope.operators.presence import key_map, maybe_among
+from folioscope.session import settle
 
 
 def cited_identifiers(texts: DataFrame) -> DataFrame:
@@ -24,12 +26,15 @@ def invented_identifiers(answers: DataFrame, seen: DataFrame) -> DataFrame:
     """A2. (answer_id, id): identifiers an answer cites that were never seen.
 
     Seen is what the case text and the tool results showed (`seen`: answer_id, id)
-    and what the question itself wrote (`answers.question`).
+    and what the question itself wrote (`answers.question`). Only what may have been
+    cited of it is shuffled.
     """
     cited = F.array_except(identifiers(F.col("text")),
                            identifiers(F.coalesce("question", F.lit(""))))
-    return answers.select("answer_id", F.explode(cited).alias("id")).join(
-        seen.select("answer_id", "id"), ["answer_id", "id"], "left_anti")
+    named = settle(answers.select("answer_id", F.explode(cited).alias("id")))
+    pair = F.col("answer_id").cast("string"), F.col("id")
+    asked = maybe_among(seen.select("answer_id", "id"), key_map(named, *pair), *pair)
+    return named.join(asked, ["answer_id", "id"], "left_anti")
 
 
 def seen_identifiers(answers: DataFrame, shown: DataFrame) -> DataFrame:
@@ -141,20 +146,23 @@ def reconcile_report(lines: DataFrame, invoices: DataFrame, ledger: DataFrame,
     """A6. (clase, valor, existe): every identifier and figure a report holds, and whether
     the records have it. `totals` has a column monto with the totals of the cases.
 
-    Records are reduced to what the report mentions, by semi-joins.
+    Records are tested against a map of what the report mentions where they are read; what
+    passes is reduced to distinct values and looked up exactly.
     """
-    ids = lines.select(F.explode(identifiers(F.col("texto"))).alias("valor")).distinct()
+    ids = settle(lines.select(F.explode(identifiers(F.col("texto"))).alias("valor")).distinct())
     figures = lines.select(F.explode(F.regexp_extract_all(
         F.col("texto"), F.lit(fv.MONEY_PATTERN), F.lit(1))).alias("valor")).distinct()
-    known_ids = (invoices.select(F.col("uuid").alias("valor"))
-                 .union(ledger.select("tx_id")).union(entities.select("rfc"))
-                 .join(ids, "valor", "left_semi").distinct())
+    records = (invoices.select(F.col("uuid").alias("valor"))
+               .union(ledger.select("tx_id")).union(entities.select("rfc")))
+    known_ids = (maybe_among(records, key_map(ids, F.col("valor")), F.col("valor"))
+                 .distinct().join(ids, "valor", "left_semi"))
     money = lambda c: F.col(c).cast("decimal(24,2)").alias("monto")
-    cited = figures.select("valor", F.replace("valor", F.lit(","), F.lit(""))
-                           .try_cast("decimal(24,2)").alias("monto"))
-    known_money = (invoices.select(money("total")).union(ledger.select(money("monto")))
-                   .union(totals.select(money("monto")))
-                   .join(cited.select("monto"), "monto", "left_semi").distinct())
+    cited = settle(figures.select("valor", F.replace("valor", F.lit(","), F.lit(""))
+                                  .try_cast("decimal(24,2)").alias("monto")))
+    amounts = (invoices.select(money("total")).union(ledger.select(money("monto")))
+               .union(totals.select(money("monto"))))
+    known_money = (maybe_among(amounts, key_map(cited, F.col("monto")), F.col("monto"))
+                   .distinct().join(cited.select("monto"), "monto", "left_semi"))
     found = F.coalesce("_found", F.lit(False)).alias("existe")
     id_rows = ids.join(known_ids.withColumn("_found", F.lit(True)), "valor", "left").select(
         F.when(F.col("valor").rlike(f"^{fv.UUID_PATTERN}$"), "FOLIO").otherwise("RFC")

@@ -7,6 +7,8 @@ import pytest
 from folioscope import schema
 from folioscope.functions.mentions import literal_mentions, taxid_mentions
 from folioscope.operators import audits
+from folioscope.operators.presence import key_map, maybe_among
+from pyspark.sql import functions as F
 
 CONFIRMED = "QLM170815T63"
 
@@ -172,3 +174,33 @@ def test_odd_ids_are_audited(spark):
     rows = audits.swapped_amounts(said, amounts).collect()
     assert {(r["answer_id"], r["rfc"], r["dueno"]) for r in rows} == {
         ("0", "RFC-ROTO-1", "WTB210404K8A"), ("2", "GENERICO", "RFC-ROTO-1")}
+
+
+def test_the_key_map_loses_no_record_and_passes_few_others(spark):
+    records = spark.range(20000).select(
+        F.concat(F.lit("id-"), F.col("id")).alias("valor"), F.col("id").alias("_bucket_no"),
+        (F.col("id") % 7).alias("x"))
+    keys = spark.range(0, 20000, 9).select(F.concat(F.lit("id-"), F.col("id")).alias("k"))
+    got = maybe_among(records, key_map(keys, F.col("k")), F.col("valor"))
+    assert got.columns == records.columns
+    passed = [r["valor"] for r in got.collect()]
+    wanted = {f"id-{i}" for i in range(0, 20000, 9)}
+    assert wanted <= set(passed) and len(passed) == len(set(passed)) < len(wanted) + 20
+    none = key_map(keys.limit(0), F.col("k"))
+    assert maybe_among(records, none, F.col("valor")).count() == 0
+    fresh = maybe_among(records, key_map(keys, F.col("k")), F.col("valor"))
+    plan = fresh._jdf.queryExecution().executedPlan().toString()    # not run, so no second plan
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1         # of the map's buckets, not records
+
+
+def test_every_bit_of_the_map_is_read_as_it_was_drawn(spark):
+    """Each key alone: a record with another place in the same bucket does not pass."""
+    money = spark.range(300).select((F.col("id") / 4).cast("decimal(24,2)").alias("monto"))
+    for i in (0, 1, 7, 8, 299):
+        own = F.lit(i / 4).cast("decimal(24,2)")
+        got = maybe_among(money, key_map(money.where(F.col("monto") == own), F.col("monto")),
+                          F.col("monto"))
+        assert [r["monto"] for r in got.collect()] == [Decimal(i * 25) / 100]
+    void = spark.createDataFrame([(None,), (Decimal("1.00"),)], "monto decimal(24,2)")
+    assert maybe_among(void, key_map(void, F.col("monto")), F.col("monto")).count() == 2
