@@ -12,7 +12,9 @@ tables small on a large network:
   through, which would pair all its incoming with all its outgoing edges.
 * Two halves. A cycle of n nodes is a forward path of ceil(n/2) legs and a backward
   path of floor(n/2) legs that meet, joined on (band, start, meeting node). Eight
-  nodes need paths of four legs, not of eight.
+  nodes need paths of four legs, not of eight. To list them, a band is cut into fine
+  steps, and a half only meets halves whose legs lie within the ratio of the smallest
+  leg of both, to a fine step; the exact ratio and disjoint nodes are left to test.
 
 Only G1 lists cycles. Whether an ID is in one (D3, E5) is answered by two semi-joins
 of the halves, so the output is bounded by the half paths and not by their pairs. One
@@ -45,9 +47,16 @@ def _edges(network: DataFrame, min_amount) -> DataFrame:
     return edges
 
 
+FINE_STEPS = 4          # a band's width, which is the ratio, in steps of its own
+
+
+def _fine_step(amount: str, max_ratio: float) -> Column:
+    step = max(math.log(max_ratio), 1e-9) * (1 + 1e-9) / FINE_STEPS
+    return F.floor(F.log(F.col(amount).cast("double")) / F.lit(step))
+
+
 def _banded(edges: DataFrame, max_ratio: float) -> DataFrame:
-    step = max(math.log(max_ratio), 1e-9) * (1 + 1e-9)
-    level = F.floor(F.log(F.col("m").cast("double")) / F.lit(step))
+    level = F.floor(_fine_step("m", max_ratio) / FINE_STEPS)
     return (edges.withColumn("level", level)
             .select("*", F.explode(F.array("level", F.col("level") - 1)).alias("band"))
             .withColumn("smallest_step", F.col("level") == F.col("band"))
@@ -129,10 +138,42 @@ def _meeting(outward: DataFrame, homeward: DataFrame,
     return outward, back, meet
 
 
-def _close(outward: DataFrame, homeward: DataFrame, max_ratio: float) -> DataFrame:
+def _below_reach(halves: DataFrame, max_ratio: float, prefix: str, below: bool) -> DataFrame:
+    """A copy of each half for every fine step (`_reach`) that the smallest leg of a cycle may
+    have if it lies in the other half: no higher than this half's own smallest leg (`below`:
+    lower), not out of the ratio of its largest, and inside the band."""
+    own = _fine_step(f"{prefix}low", max_ratio) - int(below)
+    floor = F.col(f"{prefix}band") * FINE_STEPS
+    first = F.greatest(_fine_step(f"{prefix}high", max_ratio) - FINE_STEPS, floor)
+    last = F.least(own, floor + (FINE_STEPS - 1))
+    return halves.withColumn("_reach", F.explode(F.when(
+        first <= last, F.sequence(first, last))))
+
+
+def formed_pairs(outward: DataFrame, homeward: DataFrame,
+                 max_ratio: float) -> tuple[DataFrame, Column]:
+    """The pairs of halves whose keys meet, each once, and the test they still have to pass.
+
+    Either the forward half holds the smallest step of the pair, or the backward half holds a
+    step below all of the forward one's. Whichever holds it stays as it is, and the other half
+    is copied to the steps within its reach.
+    """
     outward, back, meet = _meeting(outward, homeward, max_ratio)
+    keys = ((F.col("band") == F.col("b_band")) & (F.col("start") == F.col("b_start"))
+            & (F.col("open") == F.col("b_open")))
+    forward_low = outward.where("smallest_step").withColumn(
+        "_step", _fine_step("low", max_ratio)).join(
+        _below_reach(back, max_ratio, "b_", False), keys & (F.col("_step") == F.col("_reach")))
+    backward_low = _below_reach(outward, max_ratio, "", True).join(
+        back.where("b_smallest_step").withColumn("_step", _fine_step("b_low", max_ratio)),
+        keys & (F.col("_step") == F.col("_reach")))
+    return forward_low.unionByName(backward_low), meet
+
+
+def _close(outward: DataFrame, homeward: DataFrame, max_ratio: float) -> DataFrame:
+    pairs, meet = formed_pairs(outward, homeward, max_ratio)
     rest = F.slice("b_nodes", F.lit(2), F.size("b_nodes"))
-    return outward.join(back, meet).select(
+    return pairs.where(meet).select(
         F.concat(F.array("start"), "nodes", rest).alias("nodes"),
         F.concat("legs", "b_legs").alias("legs"),
         F.least("low", "b_low").alias("low"), F.greatest("high", "b_high").alias("high"))

@@ -93,6 +93,31 @@ def test_numbers_are_consecutive_over_all_partitions(spark):
     assert sorted(r["n"] for r in rows) == list(range(1, len(rows) + 1))
 
 
+def test_halves_out_of_the_ratio_never_meet(spark):
+    """Every pair formed lies within the ratio to one fine step, is formed once, and all the
+    cycles of the plain join on (band, start, meeting node) are among them."""
+    chance, ratio = random.Random(7), 1.3
+    nodes = [f"N{i:02d}" for i in range(16)]
+    edges = {(a, b): Decimal(round(100 * 1.7 ** chance.random(), 2)).quantize(Decimal("0.01"))
+             for a in nodes for b in nodes if a != b and chance.random() < 0.4}
+    search = cycles.CycleSearch(_network(spark, edges), 50, 5, ratio)
+    some = 0
+    for outward, homeward in search._pairs():
+        pairs, meet = cycles.formed_pairs(outward, homeward, ratio)
+        pairs = pairs.selectExpr(
+            "*", "cast(greatest(high, b_high) as double) / cast(least(low, b_low) as double) as r")
+        got = pairs.withColumn("hit", meet).selectExpr(
+            "nodes", "b_nodes", "band", "start", "r", "hit").collect()
+        assert all(r["r"] <= ratio ** (1 + 1 / cycles.FINE_STEPS) * (1 + 1e-6) for r in got)
+        assert len(got) == len({(r["band"], r["start"], *r["nodes"], "|", *r["b_nodes"])
+                                for r in got})
+        out, back, plain = cycles._meeting(outward, homeward, ratio)
+        listed = out.join(back, plain).count()
+        assert sum(r["hit"] for r in got) == listed
+        some += listed
+    assert some > 0
+
+
 def _dense(seed):
     """Equal amounts between almost all pairs of a few nodes, and a long thin ring."""
     chance = random.Random(seed)
