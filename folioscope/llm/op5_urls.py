@@ -27,24 +27,39 @@ RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 
 BUCKETS = 1 << 16
 
-# The labelled table: every name in every frame, so that only names tell the labels apart.
+# The labelled table: common words, alone and in pairs, dealt in turn to the same frames, so
+# that only names tell the labels apart. Each label has 80 words, so as many of each frame.
 FRAMES = ("https://www.{}.example.org/en/12", "http://blog.{}.example.net/fr/2045",
           "https://m.{}.org/de/310/", "http://{}.net/es/77.html", "https://{}.example.com/en/31950")
-NAMES = {
-    0: ("riverlibrary", "gridtools", "smallgarden", "cityrail", "thenews", "stonebridge",
-        "weathernotes", "hillwalks", "ridgeschool", "lakeside", "recipes-at-home", "birdcount",
-        "oldharbour", "woodwork", "open-rivers", "valleyclinic", "therin", "tionsh", "erenth",
-        "thonor", "station", "history", "ththen", "mathworld", "edathe", "ontheat", "children",
-        "northern-lights", "university", "museum", "orchestra", "railway"),
-    1: ("cheap-pills-online", "casino-bonus", "best-casino", "xxx-videos", "pills-now",
-        "win-free-money", "hot-adult-chat", "poker-bets", "torrent-crack", "login-verify",
-        "replica-sale", "free-porn", "fast-loan-cash", "slots-win", "cheap-viagra", "warez-serial",
-        "click-here-win", "sex-cams", "buy-cheap-followers", "bank-verify", "ads-banner",
-        "adclick-track", "spam-mailer", "link-farm", "bets-free", "lottery-win", "spam-seo",
-        "pharma-cheap", "track-ads", "content-farm", "free-spins", "cash-win"),
+WORDS = {
+    0: """library garden school museum railway weather history science village college theatre
+        gallery archive travel harbour river mountain forest bird flower kitchen recipe cooking
+        bakery botany nature society association institute foundation council clinic hospital
+        dental physics maths biology chemistry geology astronomy journal review gazette herald
+        chronicle poetry novel books reading music choir orchestra painting pottery knitting
+        carpentry cycling hiking sailing swimming football cricket chess farming orchard vineyard
+        dairy heritage castle bridge lighthouse teacher student children family community
+        volunteer software engineering photography""".split(),
+    1: """casino poker slots roulette bingo lottery jackpot betting gambling bonus spins viagra
+        cialis pills pharma steroids xanax diet slimming enlargement porn xxx sex sexy nude cams
+        escort hookup dating adult erotic singles loans payday cash debt forex bitcoin profit
+        rich millionaire earn money free prize winner win gift voucher coupon cheap discount
+        deals replica fake rolex warez crack keygen serial torrent pirated hacked cheats click
+        traffic seo backlinks followers spam bulkmail popup adware malware phishing verify login
+        account suspended ads""".split(),
 }
-LABELLED = tuple((frame.format(name), label)
-                 for label, names in NAMES.items() for name in names for frame in FRAMES)
+
+
+def _names(words: list[str]) -> list[str]:
+    """Each word alone, and before two others, with and without a hyphen."""
+    n = len(words)
+    return (words + [f"{w}-{words[(i + 17) % n]}" for i, w in enumerate(words)]
+            + [f"{w}{words[(i + 31) % n]}" for i, w in enumerate(words)])
+
+
+LABELLED = tuple((FRAMES[i % len(FRAMES)].format(name), label)
+                 for label, words in WORDS.items() for i, name in enumerate(_names(words)))
+
 
 def parts(url: Column) -> tuple[Column, Column]:
     """Host, A-Z in lower case, and path; both empty without `://`."""
@@ -78,7 +93,7 @@ def with_grams(urls: DataFrame) -> DataFrame:
     return urls.withColumn("_grams", grams(F.concat("host", "path")))
 
 
-def train(labelled: DataFrame, ridge: float = 0.002) -> PipelineModel:
+def train(labelled: DataFrame, ridge: float = 0.0002) -> PipelineModel:
     """Hash the n-grams, scale the counts, and fit a logistic regression on them."""
     host, path = parts(F.col("url"))
     rows = with_grams(labelled.select("label", host.alias("host"), path.alias("path")))

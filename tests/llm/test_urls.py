@@ -45,3 +45,30 @@ def test_rules_and_model(spark):
     assert by_host["best-casino-win.org"] == "block"
     assert by_host["quietlibrary.org"] == "allow"
     assert op5.judge(pages.limit(0), model).count() == 0
+
+
+# Names put together without the labelled table; a few of their words stand in it.
+UNSEEN = {
+    "allow": """cookery botanical-society stamp-collectors opera-house allotments marine-research
+        mapmakers dictionary translators veterinary kindergarten planetarium bookbinding
+        folkdance beekeepers rowingclub quilting genealogy woodlandtrust town-hall""".split(),
+    "block": """payday-credit quick-cash-now hot-girls-tonight online-bets megajackpot
+        discount-meds lose-weight-fast make-money-home watches-replicas sexchat strip-webcam
+        crackedsoftware instantloan luckyspin blackjack-vip nudegirls herbal-enhancer
+        get-rich-quick secure-account-update earn-from-home""".split(),
+}
+
+
+def test_the_table_is_balanced_and_unseen_names_are_told(spark):
+    assert {len(w) for w in op5.WORDS.values()} == {80}
+    assert not set(op5.WORDS[0]) & set(op5.WORDS[1])
+    rows = [(name, verdict, f"https://{name}.info/a/b") for verdict, names in UNSEEN.items()
+            for name in names]
+    pages = spark.createDataFrame([(i, r[2]) for i, r in enumerate(rows)],
+                                  "page_id long, url string")
+    got = {r.page_id: r.verdict for r in op5.judge(
+        pages, op5.train(op5.labelled_urls(spark))).collect()}
+    wrong = [r[:2] for i, r in enumerate(rows) if got[i] != r[1]]
+    # Measured: 1 clean and 8 other names of 40. Names of unknown words only are mostly allowed.
+    assert len(wrong) <= 0.25 * len(rows), wrong
+    assert sum(verdict == "allow" for _, verdict in wrong) <= 2, wrong
