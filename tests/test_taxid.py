@@ -59,3 +59,13 @@ def test_screening_never_rejects_a_known_id(spark):
     assert got["ADSR51130N5A"]["motivo"] == "DIGITO_INCORRECTO"
     assert got["XAXX010101004"]["confiable"]
     assert got["NADA"]["checksum_ok"] is None and not got["NADA"]["confiable"]
+
+
+def test_exploded_keys_are_not_broadcast(spark):
+    """The planner takes a small table's 92 keys an ID for one, so it would broadcast them."""
+    ids = spark.range(3000).select(F.concat(F.lit("ABCD"), F.lpad(
+        F.col("id").cast("string"), 9, "0")).alias("rfc"))
+    found = similarity.nearest_known(ids.where("rfc < 'ABCD000000040'"), ids)
+    assert found.count() > 40
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
