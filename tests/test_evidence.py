@@ -3,7 +3,10 @@ from decimal import Decimal
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from folioscope import schema
+from folioscope.functions.folios import packed, unpacked
 from folioscope.operators import evidence, leads
 from folioscope.settings import Settings
 
@@ -137,3 +140,41 @@ def test_an_item_is_named_by_the_identifier_it_is_looked_up_by(spark, books):
     assert got == {0: ("transferencia", "t2", True), 1: ("factura", "f2", True),
                    2: ("factura", "f1", True), 3: ("transferencia", "f9", False),
                    4: ("factura", "t1", False)}
+
+
+def test_packed_folios_are_equal_where_folios_are(spark):
+    texts = ["0a1b2c3d-0a1b-0a1b-0a1b-0a1b2c3d4e5f", "0A1B2C3D-0A1B-0A1B-0A1B-0A1B2C3D4E5F",
+             "0a1b2c3d-0A1B-0a1b-0a1b-0a1b2c3d4e5f", "0" * 32, "uuid-ring0", "", "ñ" * 8,
+             "01234567-0123-0123-0123-012345678901", "0a1b2c3d0a1b0a1b0a1b0a1b2c3d4e5f",
+             " 0a1b2c3d-0a1b-0a1b-0a1b-0a1b2c3d4e5f", "0a1b2c3d-0a1b-0a1b-0a1b-0a1b2c3d4e5f\n",
+             "\x00" * 16, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn(
+        "k", packed(F.col("t"))).select("t", "k", unpacked(F.col("k")).alias("back")).collect()
+    assert all(r.back == r.t for r in rows)
+    assert len({bytes(r.k) for r in rows if r.k is not None}) == len(texts) - 1
+    assert len(rows[0].k) == 16 and rows[-1].k is None
+
+
+def test_identifiers_under_the_wrong_column(spark):
+    """An item is shown under the identifier it has, even where it is looked up by another."""
+    invoices = spark.createDataFrame(
+        [("i1", "A", "B", Decimal(5)), ("i1", "A", "C", Decimal(6))],
+        "uuid string, emisor_rfc string, receptor_rfc string, total decimal(14,2)")
+    ledger = spark.createDataFrame(
+        [("t1", "B", "A", Decimal(5), "i1"), ("t2", "B", "A", Decimal(1), "i9")],
+        "tx_id string, cuenta_origen_rfc string, cuenta_destino_rfc string, "
+        "monto decimal(14,2), cfdi_uuid string")
+    cited = spark.createDataFrame(
+        [("L", "B", 0, "factura", "i1", "t9"), ("L", "B", 1, "factura", "", "t1"),
+         ("L", "B", 2, "transferencia", "i1", ""), ("L", "B", 3, None, None, "t1"),
+         ("L", "B", 4, "otro", "", "t2"), ("L", "B", 5, "factura", " ", None),
+         ("M", "B", 0, "transferencia", None, "t1")],
+        "lead_id string, rfc_imputado string, pos long, tipo string, uuid string, tx_id string")
+    got = evidence.resolve_evidence(cited, invoices, ledger).collect()
+    assert sorted((r.lead_id, r.pos, r.id, r.uuid, r.tx_id, r.a_rfc, r.contado_en_total)
+                  for r in got if r.existe) == [
+        ("L", 0, "i1", "i1", None, "B", True), ("L", 0, "i1", "i1", None, "C", False),
+        ("L", 3, "t1", None, "t1", "A", False), ("L", 4, "t2", None, "t2", "A", True),
+        ("M", 0, "t1", None, "t1", "A", True)]
+    assert sorted((r.pos, r.id, r.uuid, r.tx_id) for r in got if not r.existe) == [
+        (1, "t1", "", None), (2, "i1", None, "")]
