@@ -68,3 +68,18 @@ def test_words_match_inside_words_and_first_failing_item_decides(spark):
         invoices, received, verdicts).collect()}
     assert by["f"]["concepto"] == "gestion" and by["f"]["match"] is False
     assert by["bare"]["match"] is None and "ninguna partida" in by["bare"]["motivo"]
+
+
+def test_an_invoice_verdict_without_reasons_shuffles_no_sentence(spark):
+    t = Scenario().tables(spark)
+    received = materiality.received_concepts(t["invoices"], t["items"])
+    pairs = received.select("rfc", "concepto").distinct()
+    heads, texts = materiality.profiles(pairs, t["catalog"], t["invoices"], t["items"],
+                                        t["entities"])
+    verdicts = materiality.concept_verdicts(pairs, heads, texts)
+    full = materiality.invoice_verdicts(t["invoices"], received, verdicts)
+    bare = materiality.invoice_verdicts(t["invoices"], received, verdicts, reasons=False)
+    assert sorted(map(tuple, bare.collect()), key=str) == sorted(
+        map(tuple, full.drop("motivo").collect()), key=str)
+    plan = bare._jdf.queryExecution().optimizedPlan().toString()
+    assert "ajeno al giro" not in plan
