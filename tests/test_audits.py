@@ -204,3 +204,16 @@ def test_every_bit_of_the_map_is_read_as_it_was_drawn(spark):
         assert [r["monto"] for r in got.collect()] == [Decimal(i * 25) / 100]
     void = spark.createDataFrame([(None,), (Decimal("1.00"),)], "monto decimal(24,2)")
     assert maybe_among(void, key_map(void, F.col("monto")), F.col("monto")).count() == 2
+
+
+def test_ids_that_share_their_rarest_substring_are_not_tried_in_turn(spark):
+    ids = spark.range(400).select(F.format_string("Cliente#%04d", F.col("id")).alias("rfc"))
+    texts = _texts(spark, "uno Cliente#0007 y Cliente#0123Cliente#0399.", "Cliente#0007" * 3,
+                   "cliente#0007 Cliente#9999 nada")
+    found = literal_mentions(texts, "answer_id", "text", ids, 4)
+    assert sorted((r.answer_id, r.ordinal, r.rfc, r.before, r.after) for r in found.collect()) == [
+        (r.answer_id, at + 1, rfc, r.text[max(at - 4, 0):at], r.text[at + 12:at + 16])
+        for r in texts.orderBy("answer_id").collect() for at in range(len(r.text))
+        for rfc in [r.text[at:at + 12]]
+        if rfc in ("Cliente#0007", "Cliente#0123", "Cliente#0399")]
+    assert "Contains(" not in found._jdf.queryExecution().optimizedPlan().toString()
