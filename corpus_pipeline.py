@@ -23,7 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word similarity of 0.8 or more."""
+    """One document of each group of near copies: five-word similarity of 0.8 or more, among what
+    op4's fingerprints link and what min-hashes add."""
     return near_copies.keep_one(docs)
 
 

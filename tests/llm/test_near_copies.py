@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from folioscope.llm import near_copies
 from tests.llm import corpus
@@ -79,3 +81,18 @@ def test_a_cloud_of_texts_that_are_nearly_similar(spark, monkeypatch):
     want = plain_roots(texts)
     assert 1 < len(set(want)) < 40
     assert len({(got[i], w) for i, w in enumerate(want)}) == len(set(want)) == len(set(got.values()))
+
+
+def test_fingerprints_find_near_copies_on_their_own(spark):
+    """No two texts agree in a band of min-hashes here, so all links come from SimHash."""
+    rng, texts = random.Random(8), []
+    for _ in range(15):
+        words = corpus.prose(rng, 500).split(" ")
+        texts += [" ".join(words), " ".join(words[:-1] + ["other"])]
+    docs = corpus.documents(spark, list(enumerate(texts)))
+    rows = near_copies.signatures(docs).withColumnsRenamed({"doc_id": "id", "text_key": "key"})
+    nodes = rows.withColumn("bands", F.transform("bands", lambda b: F.xxhash64("node", b)))
+    place = {r.node: r.id for r in rows.collect()}
+    got = {tuple(sorted((place[r.a], place[r.b])))
+           for r in near_copies.near_links(docs, nodes).collect()}
+    assert got <= {(i, i + 1) for i in range(0, 30, 2)} and len(got) >= 10
