@@ -40,6 +40,15 @@ def _users(spark):
             .collect()}
 
 
+@pytest.mark.parametrize("name", ["g2_cycle_of"])
+def test_cycles_of_books_that_are_not_stored(spark, ring, monkeypatch, name):
+    stored = []
+    monkeypatch.setattr(books, "settle", lambda df: stored.append(df.columns) or settle(df))
+    found = queries.queries()[name](spark, ring)
+    assert {r["rfc"] for r in found.collect()} == _users(spark)
+    assert stored == []
+
+
 def test_proof_of_income_keeps_no_resolved_rows(spark, ring, monkeypatch):
     kept = []
     monkeypatch.setattr(queries, "settle", lambda df: kept.append(df.columns) or settle(df))
