@@ -40,7 +40,7 @@ def _users(spark):
             .collect()}
 
 
-@pytest.mark.parametrize("name", ["g2_cycle_of"])
+@pytest.mark.parametrize("name", ["e5_proof_cycle", "g2_cycle_of"])
 def test_cycles_of_books_that_are_not_stored(spark, ring, monkeypatch, name):
     stored = []
     monkeypatch.setattr(books, "settle", lambda df: stored.append(df.columns) or settle(df))
