@@ -80,3 +80,15 @@ def test_cited_transfers_are_kept_by_short_keys(spark, monkeypatch):
         ("L", "t2", "t2", None, True), ("L", "t3", "t3", "", True),
         ("L", "x", "", None, False), ("M", "t1", "t1", pays, True)]
     assert not any({"id", "tx_id", "cfdi_uuid"} & set(columns) for columns in kept)
+
+
+def test_list_status_reads_the_texts_once(spark, tmp_path):
+    spark.createDataFrame(
+        [("r", f"{A.lower()} es solo presunto"), ("r", f"Vea {A}."), ("w", f"{A.lower()} presunto"),
+         (None, f"{A} presunto"), ("x", f"{A} es presunto, {A}")],
+        "answer_id string, text string").write.parquet(f"{tmp_path}/texts")
+    listed = spark.createDataFrame([(A, "DEFINITIVO", None, None)], schema.BLACKLIST)
+    found = audits.wrong_list_status(spark.read.parquet(f"{tmp_path}/texts"), listed)
+    assert sorted(r["answer_id"] for r in found.collect()) == ["r", "x"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [answer_id") == 1
