@@ -92,3 +92,12 @@ def test_list_status_reads_the_texts_once(spark, tmp_path):
     assert sorted(r["answer_id"] for r in found.collect()) == ["r", "x"]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [answer_id") == 1
+
+
+def test_confirmed_ids_are_worked_out_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(audits, "settle", lambda df: kept.append(df.columns) or settle(df))
+    texts = spark.createDataFrame([("1", f"No se imputo a {A}.")], "answer_id string, text string")
+    cases = spark.createDataFrame([(A,)], "rfc_imputado string")
+    assert audits.denied_cases(texts, cases).count() == 1
+    assert kept == [["rfc_imputado"]]
