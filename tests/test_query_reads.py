@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 
 from folioscope import schema
-from folioscope.operators import audits, evidence
+from folioscope.operators import audits, cycles, evidence, materiality
 from folioscope.session import settle
 from folioscope.workload import books, queries
 from pyspark.sql import functions as F
@@ -101,3 +101,89 @@ def test_confirmed_ids_are_worked_out_once(spark, monkeypatch):
     cases = spark.createDataFrame([(A,)], "rfc_imputado string")
     assert audits.denied_cases(texts, cases).count() == 1
     assert kept == [["rfc_imputado"]]
+
+
+def test_stored_books_are_kept_by_keys_and_joined_once(spark, tmp_path, monkeypatch):
+    when = DAY.replace(day=2)
+    rows = {"lineitem": [(1, 5, 7, 1, 10.0, 100.0, 0.1, 0.08, "R", "F", when),
+                         (1, 6, 7, 2, 50.0, 30.0, 0.0, 0.0, "N", "O", when),
+                         (2, 5, 8, 1, 49.0, 20.0, 0.0, 0.0, "A", "F", when),
+                         (3, 5, 8, 1, 49.0, None, 0.0, 0.0, None, "F", None),
+                         (None, 5, 8, 1, 1.0, 1.0, 0.0, 0.0, "N", "F", when)],
+            "orders": [(1, 3, "F", 40000.0, DAY, "1-URGENT"), (2, 4, "O", 10.0, DAY, "5-LOW"),
+                       (3, 4, "P", None, DAY, None)]}
+    rows["lineitem"], rows["orders"] = rows["lineitem"] + rows["lineitem"][:1], rows["orders"] * 2
+    for name, columns in TABLES.items():
+        spark.createDataFrame(rows.get(name, []), columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    kept = []
+    monkeypatch.setattr(books, "settle", lambda df: kept.append(df.columns) or settle(df))
+    read, stored = (books.Books(spark, str(tmp_path), s) for s in (False, True))
+    for name in ("ledger", "evidence", "invoices", "leads"):
+        assert (sorted(map(str, getattr(stored, name).collect()))
+                == sorted(map(str, getattr(read, name).collect())))
+    assert [r["total"] for r in read.invoices.where("uuid is not null").collect()].count(230) == 2
+    assert len(kept) == 2                       # the lines with their orders, and the invoices
+    texts = {"uuid", "tx_id", "cfdi_uuid", "emisor_rfc", "rfc_imputado", "cuenta_origen_rfc"}
+    assert not any(texts & set(columns) for columns in kept)
+
+
+def test_cited_rows_are_written_before_they_are_looked_up(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(evidence, "settle", lambda df: kept.append(df.columns) or settle(df))
+    cited = spark.createDataFrame(
+        [("L", A, 0, None, "x", None)],
+        "lead_id string, rfc_imputado string, pos long, tipo string, uuid string, tx_id string")
+    nothing = spark.createDataFrame([], schema.INVOICES), spark.createDataFrame([], schema.LEDGER)
+    rows = evidence.resolve_evidence(cited, *nothing).collect()
+    assert [(r["id"], r["uuid"], r["existe"]) for r in rows] == [("x", "x", False)]
+    assert kept[0] == ["lead_id", "rfc_imputado", "pos", "tipo", "_key", "_else"]
+
+
+def test_kept_evidence_says_nothing_twice(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(evidence, "settle", lambda df: kept.append(df) or settle(df))
+    columns = ("lead_id string, rfc_imputado string, pos long, tipo string, id string, "
+               "uuid string, tx_id string, de_rfc string, a_rfc string")
+    rows = [("L", A, 0, "factura", "u", "u", None, A, B), ("L", A, 1, "factura", "t", None, None, B, A),
+            ("L", A, 2, "transferencia", "t", None, "t", None, None),
+            ("L", A, 3, "transferencia", "u", None, "", B, B),
+            ("M", None, 0, "factura", "u", "u", None, None, A)]
+    given = spark.createDataFrame(rows, columns)
+    found = evidence.keep_resolved(given)
+    assert found.columns == given.columns
+    assert [tuple(r) for r in found.orderBy("lead_id", "pos").collect()] == rows
+    written = kept[0].orderBy("lead_id", "pos").select("id", "de_rfc", "a_rfc").collect()
+    assert [tuple(r) for r in written] == [
+        (None, None, B), ("t", B, None), (None, None, None), ("u", B, B), (None, None, A)]
+
+
+def test_only_transfers_between_payers_are_summed_for_cycles(spark):
+    moves = [(A, B), (B, A), (A, A), ("C", A), (A, "D"), (None, A), (B, None), (A, B)]
+    ledger = spark.createDataFrame(
+        [(str(i), a, b, DAY, None, None, None) for i, (a, b) in enumerate(moves)], schema.LEDGER)
+    assert [r["tx_id"] for r in cycles.between_payers(ledger).orderBy("tx_id").collect()] == [
+        "0", "1", "7"]
+
+
+def test_invoices_are_not_moved_to_find_whose_history_is_needed(spark):
+    invoices = spark.createDataFrame(
+        [("i1", A, B, DAY, None, None, "PUE", "03", "VIGENTE"),
+         ("i2", B, A, DAY, None, None, "PUE", "03", "VIGENTE")], schema.INVOICES)
+    items = spark.createDataFrame([("i1", "acero", 1), ("i2", "nada", 2)],
+                                  "invoice_uuid string, descripcion string, _row long")
+    catalog = spark.createDataFrame([(B, "b", "g", ["acero", "acero"])],
+                                    "rfc string, razon_social string, giro string, "
+                                    "descripciones_esperadas array<string>")
+    names = spark.createDataFrame([(A, "a")], "rfc string, razon_social string")
+    seen = []
+    drawn = materiality.key_map
+    materiality.key_map = lambda keys, *c: seen.append(keys.columns) or drawn(keys, *c)
+    try:
+        heads, texts = materiality.profiles(
+            spark.createDataFrame([(A,), (B,)], "rfc string"), catalog, invoices, items, names)
+    finally:
+        materiality.key_map = drawn
+    assert sorted((r["rfc"], r["fuente"]) for r in heads.collect()) == [
+        (A, "HISTORIAL"), (B, "CATALOGO")]
+    assert sorted(map(tuple, texts.collect())) == [(A, "acero"), (B, "acero")]
+    assert seen == [["rfc"]]
