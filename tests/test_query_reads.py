@@ -187,3 +187,18 @@ def test_invoices_are_not_moved_to_find_whose_history_is_needed(spark):
         (A, "HISTORIAL"), (B, "CATALOGO")]
     assert sorted(map(tuple, texts.collect())) == [(A, "acero"), (B, "acero")]
     assert seen == [["rfc"]]
+
+
+def test_amounts_are_sought_around_confirmed_ids_only(spark, monkeypatch):
+    drawn = []
+    key_map = audits.key_map
+    monkeypatch.setattr(audits, "key_map", lambda keys, *c: drawn.append(keys) or key_map(keys, *c))
+    texts = spark.createDataFrame(
+        [("1", f"{A} suma $5.00 y {B} suma $7.00"), ("2", f"CCC010101CCC suma $7.00"), (None, None)],
+        "answer_id string, text string")
+    amounts = spark.createDataFrame([(A, 5), (B, 7)], "rfc string, monto int").withColumn(
+        "monto", F.col("monto").cast("decimal(24,2)"))
+    found = audits.swapped_amounts(texts, amounts).collect()
+    assert sorted((r["answer_id"], r["rfc"], r["dueno"]) for r in found) == [
+        ("1", A, B), ("1", B, A)]
+    assert [sorted(r["rfc"] for r in keys.collect()) for keys in drawn] == [[A, B]]
