@@ -5,7 +5,8 @@ import datetime as dt
 import pytest
 
 from folioscope import schema
-from folioscope.operators import audits, cycles, evidence, materiality
+from folioscope.functions.folios import packed, unpacked
+from folioscope.operators import audits, cycles, evidence, materiality, presence, views
 from folioscope.session import settle
 from folioscope.workload import books, queries
 from pyspark.sql import functions as F
@@ -202,3 +203,52 @@ def test_amounts_are_sought_around_confirmed_ids_only(spark, monkeypatch):
     assert sorted((r["answer_id"], r["rfc"], r["dueno"]) for r in found) == [
         ("1", A, B), ("1", B, A)]
     assert [sorted(r["rfc"] for r in keys.collect()) for keys in drawn] == [[A, B]]
+
+
+def _filters(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return [line for line in plan if "Filter" in line]
+
+
+def test_identifiers_are_not_made_again_to_filter_by_them(spark, ring, monkeypatch):
+    b = books.Books(spark, ring, stored=True)
+    kept = []
+    monkeypatch.setattr(evidence, "settle", lambda df: kept.append(df) or settle(df))
+    resolved = evidence.resolve_evidence(b.evidence, b.invoices, b.ledger)
+    network = views.money_network(cycles.between_payers(b.ledger))
+    monkeypatch.setattr(cycles, "settle", lambda df: kept.append(df) or settle(df))
+    search = cycles.CycleSearch(network, 1.0, 4)
+    assert {r["rfc"] for r in search.members().collect()} == _users(spark)
+    assert len(kept) > 4
+    assert not [line for df in kept + [resolved, network] for line in _filters(df) if "md5(" in line]
+
+
+def test_a_key_is_null_only_where_its_folio_is(spark):
+    texts = ["0123abcd-0000-4000-8000-0123456789ab", "0123ABCD-0000-4000-8000-0123456789AB",
+             "0123abcd-0000-4000-8000-0123456789aB", "", "ñ", "0123abcd000040008000-0123456789ab"]
+    given = spark.createDataFrame([(t,) for t in texts + [None]], "t string")
+    both = given.select("t", packed(F.col("t")).alias("k")).select("t", "k", unpacked(F.col("k")).alias("u"))
+    assert [r["u"] for r in both.collect()] == texts + [None]
+    assert [len(r["k"]) for r in both.where("t is not null").collect()] == [16, 17, 54, 18, 20, 51]
+    sure = spark.range(1).select(packed(F.concat_ws("-", F.lit("a"), "id")).alias("k"))
+    assert not sure.schema["k"].nullable
+
+
+def test_rows_without_an_identifier_are_not_looked_up(spark):
+    cited = spark.createDataFrame(
+        [("L", A, 0, "factura", " ", "t"), ("L", A, 1, "transferencia", "u", "  "),
+         ("L", A, 2, None, None, None), ("L", A, 3, "factura", "", "t"), ("L", A, 4, None, "", "t")],
+        "lead_id string, rfc_imputado string, pos long, tipo string, uuid string, tx_id string")
+    nothing = spark.createDataFrame([], schema.INVOICES), spark.createDataFrame([], schema.LEDGER)
+    rows = evidence.resolve_evidence(cited, *nothing).orderBy("pos").collect()
+    assert [(r["pos"], r["tipo"], r["id"]) for r in rows] == [
+        (3, "factura", "t"), (4, "transferencia", "t")]
+
+
+def test_the_map_is_kept_as_whole_numbers(spark):
+    drawn = presence.key_map(spark.range(3000), F.col("id"))
+    assert dict(drawn.dtypes) == {"_bucket": "bigint", "_words": "array<bigint>"}
+    assert {len(r["_words"]) for r in drawn.collect()} == {512}
+    marked = presence.among(spark.range(6000), drawn, "m", F.col("id"))
+    assert marked.where("m and id < 3000").count() == 3000
+    assert marked.where("m and id >= 3000").count() < 10
